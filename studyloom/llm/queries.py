@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm import canonical as p1
+from studyloom.llm import repeated_lines as p2
 
 
 def _read(spark: SparkSession, at: str, table: str) -> DataFrame:
@@ -27,5 +28,15 @@ def p1_found(spark: SparkSession, at: str) -> DataFrame:
     return pairs.filter(of("id_a") == of("id_b")).select(table, half("id_a"), half("id_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    return p2.repeated_lines(_read(spark, at, "chunks")).select("chunk_id", "line_no").distinct()
+
+
+def p2_cleaned(spark: SparkSession, at: str) -> DataFrame:
+    chunks = _read(spark, at, "chunks").select("chunk_id", "document_id", "source", "text")
+    clean = p2.without_lines(chunks, p2.repeated_lines(chunks))
+    return clean.select("chunk_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned}
 ORACLES: dict[str, str] = {}
