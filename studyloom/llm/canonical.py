@@ -6,17 +6,22 @@ the matches give every odd word its canonical spelling. Words without a match ar
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.llm.lookalikes import SCRIPTS, VARIANTS, is_plain, plainer, script_of, skeleton, spell, text_script
+from studyloom.llm.lookalikes import PLAIN, SCRIPTS, VARIANTS, plainer, script_of, skeleton, spell
+from studyloom.plans.lineage import cut
 
 #: Vocabulary words of one trie.
 WORDS_A_TRIE = 50_000
@@ -24,30 +29,31 @@ WORDS_A_TRIE = 50_000
 SALTS = 8
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}\p{Cn}]+")
+words = _WORD.findall  # the maximal runs of letters, marks and invisible characters
+_UNPLAIN = re.compile(f"[^{PLAIN}]".replace("\\\\", "\\"))
 
 
-class _Blanks(dict):
-    def __missing__(self, point: int) -> str:
-        ch = chr(point)
-        out = self[point] = ch if unicodedata.category(ch) in ("Lu", "Ll", "Lt", "Lo", "Lm", "Mn", "Mc", "Me", "Cf", "Cn") else " "
-        return out
+def unify(text: str) -> str:
+    """text with one kind of line end and tabs as blanks, which is all that canonical text without odd characters needs."""
+    return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ") if "\r" in text or "\t" in text else text
 
 
-_BLANKS = _Blanks()
-
-
-def words(text: str) -> list[str]:
-    """The maximal runs of letters, marks and invisible characters."""
-    return text.translate(_BLANKS).split()
+@lru_cache(1 << 17)
+def parts(word: str) -> tuple[str, tuple[int, int, int]]:
+    """A word plainer, and its letters of each script that have no look-alike."""
+    own = plainer(word)
+    seen = [script_of(ch) for ch in own]
+    return own, tuple(seen.count(s) for s in SCRIPTS)
 
 
+@lru_cache(1 << 17)
 def clean(word: str) -> bool:
     """Whether word is spelled in one script and composed form, without anything invisible."""
     if word.isascii():
         return True
-    own = plainer(word)
-    scripts = {s for ch in own if (s := script_of(ch)) in SCRIPTS}
-    return len(scripts) <= 1 and unicodedata.normalize("NFC", spell(own, next(iter(scripts), _alone(own)))) == word
+    own, scripts = parts(word)
+    used = [s for s, n in zip(SCRIPTS, scripts, strict=True) if n]
+    return len(used) <= 1 and unicodedata.normalize("NFC", spell(own, used[0] if used else _alone(own))) == word
 
 
 def _alone(word: str) -> str:
@@ -95,24 +101,30 @@ class Trie:
 
 # ---- the jobs
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    looks: dict[str, tuple[str, bool]] = {}
-    for batch in batches:
-        seen = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(words(text))
-        for w in seen.keys() - looks.keys():
-            looks[w] = (w, False) if w.isascii() else (skeleton(w), not clean(w))
-        rows = [(*looks[w], w, n) for w, n in seen.items()]
-        if len(looks) > 500_000:
-            looks.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 4, (pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["look", "odd", "word", "n"])
+_SCAN = "text_id bigint, a bigint, b bigint, odd_text string, look string, odd boolean, word string, n bigint"
+_SCAN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+
+
+def two_hashes(text: str) -> tuple[int, int]:
+    """128 bits of text as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(text)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Every word of every text: look (what it looks like), odd (not a clean spelling), word, n."""
-    counts = texts.filter(F.col(text).isNotNull()).select(text).mapInArrow(_count_words, "look string, odd boolean, word string, n bigint")
-    return counts.groupBy("look", "odd", "word").agg(F.sum("n").alias("n"))
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts: a row for each (hashes; the text where a look-alike may hide in it) and one for each word."""
+    for batch in batches:
+        tokens, rows = Counter(), []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens.update(text.split())
+            plain = unify(text)
+            rows.append((i, *two_hashes(text), text if plain is not text or _UNPLAIN.search(plain) else None, None, None, None, None))
+        seen = Counter()
+        for tok, n in tokens.items():
+            for w in words(tok):
+                seen[w] += n
+        rows += [(None, None, None, None, w if w.isascii() else skeleton(w), not clean(w), w, n) for w, n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 8, _SCAN_TYPES, strict=True)], names=[x.split()[0] for x in _SCAN.split(", ")])
 
 
 def _spellings(table: pa.Table) -> pa.Table:
@@ -130,67 +142,84 @@ def _spellings(table: pa.Table) -> pa.Table:
 
 
 def spellings(words_: DataFrame) -> DataFrame:
-    """For every odd word of vocabulary() the most frequent clean spelling of each script that looks the same, else null."""
+    """For every odd word of (look, odd, word, n) the most frequent clean spelling of each script that looks the same, else null."""
     shards = max(1, -(-words_.count() // WORDS_A_TRIE))
     return words_.withColumn("shard", F.pmod(F.xxhash64("look"), F.lit(shards))).groupBy("shard").applyInArrow(_spellings, ", ".join(f"{k} string" for k in ("word", *SCRIPTS)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _odd_words(s):  # noqa: ANN001, ANN202
+def _odd_words(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [w for w in set(words(t)) if not clean(w)], na_action="ignore")
 
 
 def compose(text: str, known: dict[str, dict[str, str]]) -> str:
     """text with the known spellings, everything else by table."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    context = text_script(words(plainer(text)))
+    text = unify(text)
+    if not _UNPLAIN.search(text):
+        return text
+    found = words(text)
+    total = [sum(n) for n in zip(*(parts(w)[1] for w in found), strict=True)] if found else [0, 0, 0]
+    context = max(range(3), key=lambda k: (total[k], -k))
+    changed = {}
+    for w in set(found):
+        own, scripts = parts(w)
+        used = [s for s, n in zip(SCRIPTS, scripts, strict=True) if n]
+        of = known.get(w) if len(used) <= 1 else None
+        form = of and of.get(used[0] if used else SCRIPTS[context]) or spell(own, SCRIPTS[context])
+        if form != w:
+            changed[w] = form
+    if changed:
+        text = _WORD.sub(lambda m: changed.get(m.group(), m.group()), text)
+    return unicodedata.normalize("NFC", plainer(text))
 
-    def one(m) -> str:  # noqa: ANN001
-        word = m.group()
-        own = plainer(word)
-        scripts = {s for ch in own if (s := script_of(ch)) in SCRIPTS}
-        of = known.get(word)
-        if of and len(scripts) <= 1 and (hit := of.get(next(iter(scripts), context))):
-            return hit
-        return spell(own, context)
 
-    return unicodedata.normalize("NFC", plainer(_WORD.sub(one, text)))
+@F.pandas_udf(T.StringType())
+def _compose(text: pd.Series, known: pd.Series) -> pd.Series:
+    spelled = [{k["word"]: {s: k[s] for s in SCRIPTS if k[s]} for k in of} if of is not None else {} for of in known]
+    return pd.Series([None if t is None else compose(t, of) for t, of in zip(text, spelled, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _compose(text, known):  # noqa: ANN001, ANN202
-    out = []
-    for t, of in zip(text, known, strict=True):
-        out.append(None if t is None else compose(t, {k["word"]: {s: k[s] for s in SCRIPTS if k[s]} for k in of} if of is not None else {}))
-    return text.__class__(out, dtype=object)
+def _forms(scan: DataFrame) -> DataFrame:
+    """text_id, odd_text and its canonical form, of every text of the scan in which a look-alike may hide."""
+    counts = scan.filter(F.col("word").isNotNull()).groupBy("look", "odd", "word").agg(F.sum("n").alias("n"))
+    known = spellings(cut(counts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = scan.filter(F.col("odd_text").isNotNull()).select("text_id", "odd_text")
+    asked = rest.select("text_id", F.explode(_odd_words("odd_text")).alias("word")).withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
+    found = asked.join(known, ["word", "salt"]).groupBy("text_id").agg(F.collect_list(F.struct("word", *SCRIPTS)).alias("known"))
+    return rest.join(found, "text_id", "left").select("text_id", "odd_text", _compose("odd_text", "known").alias("form"))
+
+
+def _scanned(texts: DataFrame, id_col: str, text: str) -> DataFrame:
+    base = texts.filter(F.col(text).isNotNull()).select(F.col(id_col).cast("bigint").alias("text_id"), F.col(text).alias("text"))
+    return cut(base.mapInArrow(_scan, _SCAN))
 
 
 def canonical(texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """texts (id_col unique) as id_col, text, canonical: canonical is equal for two texts exactly when they look the same.
+    """texts (id_col a unique number) with a column canonical: equal for two texts exactly when they look the same.
 
     Case, accents, digits, superscripts, punctuation and the number of blanks are kept. Null text: null canonical. Empty
     text, or text of invisible characters only: ''. Texts of any length are processed whole. Repeated rows and ties give
-    the same form, as it depends on the look of the text alone; other columns are not read. An empty table gives none."""
-    base = texts.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    plain = base.filter(F.col("_text").isNull() | is_plain(F.col("_text"))).select("_id", "_text", F.col("_text").alias("_form"))
-    rest = base.filter(~is_plain(F.col("_text")))
-    known = spellings(vocabulary(base, "_text")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = rest.select("_id", F.explode(_odd_words("_text")).alias("word")).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-    found = asked.join(known, ["word", "_salt"]).groupBy("_id").agg(F.collect_list(F.struct("word", *SCRIPTS)).alias("_known"))
-    odd = rest.join(found, "_id", "left").select("_id", "_text", _compose("_text", "_known").alias("_form"))
-    return plain.unionByName(odd).select(F.col("_id").alias(id_col), F.col("_text").alias(text), F.col("_form").alias("canonical"))
+    the same form, as it depends on the look of the text alone. Other columns are passed on; a column named canonical is
+    replaced. An empty table gives none."""
+    forms = _forms(_scanned(texts, id_col, text)).select(F.col("text_id").alias("_text_id"), F.col("form").alias("_form"))
+    return texts.join(forms, F.col(id_col) == F.col("_text_id"), "left").withColumn("canonical", F.coalesce("_form", F.col(text))).drop("_text_id", "_form")
 
 
 def same_look(texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """Pairs (id_a < id_b) of texts that are stored differently and have one canonical form; nulls are in no pair.
 
     The forms are compared by 128 bits of hash; only classes with an odd text are joined, and by key, not in groups."""
-    two = lambda c, a, b: F.struct(F.xxhash64(c).alias(a), F.xxhash64(F.lit("studyloom"), c).alias(b))
-    forms = canonical(texts, id_col, text).filter(F.col("canonical").isNotNull())
-    keys = forms.select(F.col(id_col).alias("_id"), two("canonical", "a", "b").alias("_look"), two(text, "a", "b").alias("_stored"))
-    odd = keys.filter(F.col("_look") != F.col("_stored")).select("_look").distinct()
-    shared = keys.join(odd, "_look", "left_semi")
-    a, b = shared.alias("a"), shared.alias("b")
-    return a.join(b, (F.col("a._look") == F.col("b._look")) & (F.col("a._id") < F.col("b._id")) & (F.col("a._stored") != F.col("b._stored"))).select(
-        F.col("a._id").alias("id_a"), F.col("b._id").alias("id_b")
+    scan = _scanned(texts, id_col, text)
+    odd = cut(_forms(scan).select("text_id", _hashes("form").alias("look")))
+    stored = scan.filter(F.col("text_id").isNotNull()).select("text_id", F.struct("a", "b").alias("stored"))
+    keys = stored.join(odd, "text_id", "left").withColumn("look", F.coalesce("look", "stored"))
+    keys = cut(keys.join(odd.select("look").distinct(), "look", "left_semi"))
+    a, b = keys.alias("a"), keys.alias("b")
+    return a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.text_id") < F.col("b.text_id")) & (F.col("a.stored") != F.col("b.stored"))).select(
+        F.col("a.text_id").alias("id_a"), F.col("b.text_id").alias("id_b")
     )
+
+
+@F.pandas_udf(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+def _hashes(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([two_hashes(x) for x in s], columns=["a", "b"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -88,12 +87,6 @@ def script_of(ch: str) -> str | None:
     return name if name in SCRIPTS else "other"
 
 
-def text_script(words: list[str]) -> str:
-    """The script of most letters that have no look-alike (Latin where there are none): a function of the look alone."""
-    seen = Counter(s for w in words for ch in w if (s := script_of(ch)) in SCRIPTS)
-    return max(SCRIPTS, key=lambda s: (seen[s], -SCRIPTS.index(s)))
-
-
 def spell(word: str, context: str) -> str:
     """A plainer() word by table: every look-alike in the script of the word's other letters, in context's where it has none."""
     if word.isascii() and context == "latin":

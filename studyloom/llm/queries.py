@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studyloom.llm import canonical as p1
 from studyloom.llm import repeated_lines as p2
+from studyloom.llm import truncation as p4
 
 
 def _read(spark: SparkSession, at: str, table: str) -> DataFrame:
@@ -38,5 +39,27 @@ def p2_cleaned(spark: SparkSession, at: str) -> DataFrame:
     return clean.select("chunk_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned}
+def _questions(spark: SparkSession, at: str) -> DataFrame:
+    """Every StudyQuestion once: record_key, source, text, expected_answer."""
+    banks = _read(spark, at, "question_banks").select("document_id", "identity_fingerprint", "source", F.explode("questions").alias("q"))
+    key = F.concat_ws("|", "document_id", "identity_fingerprint", F.col("q.number"))
+    rows = banks.select(key.alias("record_key"), "source", "q.text", "q.expected_answer")
+    return rows.groupBy("record_key").agg(*(F.first(c).alias(c) for c in ("source", "text", "expected_answer")))
+
+
+def _values(spark: SparkSession, at: str) -> DataFrame:
+    s = _read(spark, at, "document_summaries").select(F.lit("document_summaries.text").alias("field_name"), F.col("summary_id").cast("string").alias("record_key"), "source", "text")
+    q = _questions(spark, at).select(F.lit("question_banks.expected_answer").alias("field_name"), "record_key", "source", F.col("expected_answer").alias("text"))
+    return s.unionByName(q)
+
+
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    return p4.truncated(_values(spark, at)).filter("is_truncated").select("field_name", "record_key")
+
+
+def p4_rates(spark: SparkSession, at: str) -> DataFrame:
+    return p4.truncation_rates(p4.truncated(_values(spark, at)))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p4_found": p4_found, "p4_rates": p4_rates}
 ORACLES: dict[str, str] = {}
