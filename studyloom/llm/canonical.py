@@ -6,7 +6,6 @@ the matches give every odd word its canonical spelling. Words without a match ar
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.llm.lookalikes import PLAIN, SCRIPTS, VARIANTS, plainer, script_of, skeleton, spell
+from studyloom.llm.lookalikes import SCRIPTS, UNPLAIN, VARIANTS, plainer, script_of, skeleton, spell
 from studyloom.plans.lineage import cut
 
 #: Vocabulary words of one trie.
@@ -30,7 +29,6 @@ SALTS = 8
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}\p{Cn}]+")
 words = _WORD.findall  # the maximal runs of letters, marks and invisible characters
-_UNPLAIN = re.compile(f"[^{PLAIN}]".replace("\\\\", "\\"))
 
 
 def unify(text: str) -> str:
@@ -118,7 +116,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens.update(text.split())
             plain = unify(text)
-            rows.append((i, *two_hashes(text), text if plain is not text or _UNPLAIN.search(plain) else None, None, None, None, None))
+            rows.append((i, *two_hashes(text), text if plain is not text or UNPLAIN.search(plain) else None, None, None, None, None))
         seen = Counter()
         for tok, n in tokens.items():
             for w in words(tok):
@@ -155,7 +153,7 @@ def _odd_words(s: pd.Series) -> pd.Series:
 def compose(text: str, known: dict[str, dict[str, str]]) -> str:
     """text with the known spellings, everything else by table."""
     text = unify(text)
-    if not _UNPLAIN.search(text):
+    if not UNPLAIN.search(text):
         return text
     found = words(text)
     total = [sum(n) for n in zip(*(parts(w)[1] for w in found), strict=True)] if found else [0, 0, 0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -64,6 +65,11 @@ def plainer(text: str) -> str:
     return unicodedata.normalize("NFD", text)
 
 
+#: Characters that plain text is made of: ASCII and precomposed Latin letters and marks of Western Europe.
+PLAIN = "\\x0A\\x20-\\x7E¡¢£§«¬®°±²³´µ¶·¹º»¼½¾¿À-ÿŒœŸ–—‘’‚“”„†‡•…€"
+UNPLAIN = re.compile(f"[^{PLAIN}]")
+
+
 class _Skeleton(dict):
     def __missing__(self, point: int) -> str:
         out = self[point] = CONFUSED.get(chr(point), chr(point))
@@ -75,6 +81,8 @@ _SKELETON = _Skeleton()
 
 def skeleton(text: str) -> str:
     """What text looks like: equal for two texts exactly when they look the same. Look-alikes become Latin."""
+    if not UNPLAIN.search(text):
+        return text
     return unicodedata.normalize("NFC", plainer(text).translate(_SKELETON))
 
 
@@ -123,10 +131,6 @@ def translate_args() -> tuple[str, str]:
     return "".join(kept + gone), "".join(pairs[k] for k in kept)
 
 
-#: Characters that plain text is made of: ASCII and precomposed Latin letters and marks of Western Europe.
-PLAIN = "\\x0A\\x20-\\x7E¡¢£§«¬®°±²³´µ¶·¹º»¼½¾¿À-ÿŒœŸ–—‘’‚“”„†‡•…€"
-
-
 def is_plain(c: Column) -> Column:
     """Whether every character of c stands for itself and no look-alike can hide in it."""
     return ~c.rlike(f"[^{PLAIN}]")

@@ -23,6 +23,10 @@ from studyloom.plans.lineage import cut
 
 #: A context must have been passed so often to be trusted; shorter ones step in.
 TRUSTED = 8
+#: Share of contexts with ways of ending of their own, inside a text and for a value of a single fragment.
+OWN, OWN_ALONE = 0.001, 0.05
+#: Items that a phrase has at most, the last of them a word that is not closed-class.
+PHRASE = 8
 #: Field limits below this are not looked for: short values are whole phrases.
 LEAST_LIMIT = 16
 #: Values a source needs for a length fit of its own.
@@ -31,7 +35,9 @@ LEAST_VALUES = 30
 _ITEM = regex.compile(r"https?://\S+|[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*'?|\p{N}+|[^\s\p{L}\p{N}]")
 _MARK = regex.compile(r"(?:\s*\[\s*(?:\.{2,}|…)\s*\]|\s*(?:\.{2,}|…))\s*$")
 # Phrases that end a list on purpose, as far as they stand before a mark of omission or at the end.
-_AND_SO_ON = regex.compile(r"\b(?:and so on|and so forth|et cetera|etc|und so weiter|usw|et ainsi de suite|y así sucesivamente|y demás|и так далее|и тому подобное|и т ?д|и т ?п)$")
+_AND_SO_ON = ("and so on", "and so forth", "et cetera", "etc", "und so weiter", "usw", "et ainsi de suite", "y así sucesivamente", "y demás", "и так далее", "и тому подобное")
+_AND_SO_ON = regex.compile(rf"\b(?:{'|'.join(map(skeleton, _AND_SO_ON))})$")
+_FRAME = frozenset(map(skeleton, FRAME))
 _CLOSING = "\"'”’»“„«)]}*_ \n"
 _STOPS = ".!?"
 
@@ -47,7 +53,7 @@ def items(text: str) -> tuple[list[str], list[str], list[int]]:
                 out.append("URL")
             else:
                 seen.append(tok)
-                if (w := tok.rstrip("'")) in FRAME:
+                if (w := tok.rstrip("'")) in _FRAME:
                     out.append(w)
                 elif out and out[-1] == "X":
                     run = True
@@ -98,65 +104,59 @@ def _partial_word(text: str) -> str:
     return m.group() if m else ""
 
 
-_STAT = "ctx bigint, level bigint, passed bigint, chars bigint, stopped bigint, open bigint"
-_TAIL = "row bigint, n_chars int, bare_chars int, marked boolean, open boolean, word string, ctx array<bigint>"
+_SCAN = "kind string, row bigint, n_chars int, bare_chars int, marked boolean, open boolean, word string, ctx array<bigint>, level bigint, passed bigint, chars bigint, stopped bigint, opened bigint"
+_SCAN_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 5]
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the values: 'tail' rows with the ending of each, 'ctx' rows counting what is passed and how it ends,
+    'word' rows counting the words that aren't last. Sentences of one frame are counted together before they are taken apart."""
     for batch in batches:
-        level: dict[int, int] = {}
-        passed, chars, stopped, open_ = Counter(), Counter(), Counter(), Counter()
-        for text in batch.column("text").to_pylist():
-            bare, _, done = ending(skeleton(text).lower())
-            frame, _, width = items(bare)
+        rows, words, frames = [], Counter(), {}
+        for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bare, marked, done = ending(skeleton(raw.lower()))
+            frame, seen, width = items(bare)
+            words.update(seen[:-1])
+            start, end = 0, len(frame)
             for start, end, stop in _sentences(frame):
-                for i in range(start + 1, end + 1):
-                    cs = contexts(frame, start, i)
-                    for k, c in enumerate(cs):
-                        level[c] = k
-                        passed[c] += 1
-                        chars[c] += width[i - 1]
-                        if i == end:
-                            (stopped if stop or done else open_)[c] += 1
-        cols = [list(level), list(level.values()), *([c[k] for k in level] for c in (passed, chars, stopped, open_))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in _STAT.split(", ")])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen = Counter()
-        for text in batch.column("text").to_pylist():
-            seen.update(items(skeleton(text).lower())[1][:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every value its ending: lengths, last word and the contexts of the last item."""
-    fields = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64())]
-    for batch in batches:
-        rows = []
-        for row, raw in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            text = skeleton(raw).lower()
-            bare, marked, done = ending(text)
-            frame, _, _ = items(bare)
-            cs: list[int] = []
-            if not done and frame:
-                start, end, _ = [(0, len(frame), False), *_sentences(frame)][-1]
-                cs = contexts(frame, start, end)
+                key = (start == 0, stop or done, *frame[start:end])
+                if key in frames:
+                    have = frames[key]
+                    have[0] += 1
+                    for k in range(start, end):
+                        have[1 + k - start] += width[k]
+                else:
+                    frames[key] = [1, *width[start:end]]
             n_bare = len(_MARK.sub("", raw.rstrip())) if any(map(str.isalnum, bare)) else 0
-            rows.append((row, len(raw), n_bare, marked, not done, "" if done else _partial_word(bare), cs))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, fields, strict=True)], names=[x.split()[0] for x in _TAIL.split(", ")])
+            tail = ("", []) if done else (_partial_word(bare), contexts(frame, start, end))
+            rows.append(("tail", row, len(raw), n_bare, marked, not done, *tail, int(start == 0 and end <= PHRASE and frame[-1:] == ["X"]), None, None, None, None))
+        counts: dict[int, list[int]] = {}
+        for (first, stop, *frame), (n, *width) in frames.items():
+            pad = 0 if first else 1
+            for i in range(1, len(frame) + 1):
+                for level, c in enumerate(contexts(["."] * pad + frame, pad, pad + i)):
+                    have = counts.setdefault(c, [level, 0, 0, 0, 0])
+                    have[1] += n
+                    have[2] += width[i - 1]
+                    if i == len(frame):
+                        have[3 if stop else 4] += n
+        rows += [("ctx", None, None, None, None, None, None, [c], *v) for c, v in counts.items()]
+        rows += [("word", None, None, None, None, None, w, None, None, n, None, None, None) for w, n in words.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 13, _SCAN_TYPES, strict=True)], names=[x.split()[0] for x in _SCAN.split(", ")])
 
 
 def endings(values: DataFrame) -> DataFrame:
-    """values (kind_of, row, text): row, n_chars, bare_chars, marked, open (no full stop), goes_on (odds that the text goes on
-    after its last item, from the ending alone), word_odds (how much likelier the last word is that of a cut text)."""
-    values = values.filter(F.col("text").isNotNull()).select("row", "text")
-    stats = cut(values.select("text").mapInArrow(_count_contexts, _STAT).groupBy("ctx", "level").agg(*(F.sum(c).alias(c) for c in ("passed", "chars", "stopped", "open"))))
-    tails = cut(values.mapInArrow(_tails, _TAIL))
+    """values (row, text; row unique): row, n_chars, bare_chars, marked, open (no full stop), goes_on (odds that the text goes
+    on after its last item, from what leads up to it), word_odds (how much likelier the last word is that of a cut text).
+
+    Null texts are left out. Texts without any item have odds of 1 and bare_chars 0."""
+    scan = cut(values.filter(F.col("text").isNotNull()).select("row", "text").mapInArrow(_scan, _SCAN))
+    stats = scan.filter("kind = 'ctx'").groupBy(F.col("ctx")[0].alias("ctx"), "level").agg(*(F.sum(c).alias(c) for c in ("passed", "chars", "stopped", "opened")))
+    stats = cut(stats)
+    tails = scan.filter("kind = 'tail'").select("row", "n_chars", "bare_chars", "marked", "open", "word", "ctx", F.col("level").alias("alone"))
+    words = cut(scan.filter("kind = 'word'").groupBy("word").agg(F.sum("passed").alias("n")))
 
     # --- the last word
-    words = cut(values.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     asked = tails.filter(F.col("word") != "").select("word").distinct()
     longer = words.filter(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n")
     longer = longer.join(asked, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("longer"))
@@ -166,14 +166,19 @@ def endings(values: DataFrame) -> DataFrame:
     word_odds = asked.join(words, "word", "left").join(longer, "word", "left").select("word", odds.alias("word_odds"))
 
     # --- what leads up to the end: the longest trusted context
-    each = tails.filter(F.col("open") & (F.size("ctx") > 0)).select("row", F.posexplode("ctx").alias("level", "ctx"))
-    best = each.join(stats.drop("level"), "ctx").filter((F.col("passed") >= TRUSTED) | (F.col("level") == 3)).groupBy("row").agg(F.min_by(F.struct("passed", "chars", "stopped", "open"), "level").alias("s"))
-    best = cut(best.select("row", "s.chars", "s.stopped", F.col("s.open").alias("opened")))
+    each = tails.filter(F.col("open") & (F.size("ctx") > 0)).select("row", "alone", F.posexplode("ctx").alias("level", "ctx"))
+    best = each.join(stats.drop("level"), "ctx").filter((F.col("passed") >= TRUSTED) | (F.col("level") == 3)).groupBy("row").agg(F.min_by(F.struct("chars", "stopped", "opened", "alone"), "level").alias("s"))
+    best = best.select("row", "s.*")
     hazard, lost = _rates(stats)
     cuts, stops = hazard * F.col("chars"), lost * F.col("stopped")
-    # open ends beyond what cuts and lost stops explain are a way of ending of their own: lists, references, phrases
-    own = F.greatest(F.lit(0.0), F.col("opened") - (cuts + stops) - 2 * F.sqrt(cuts + stops) - 1)
-    is_cut = F.least(F.lit(0.999), F.greatest(F.lit(0.001), cuts / (cuts + stops + own + 1e-9)))
+    # contexts with ways of ending of their own (lists, references, phrases) have more open ends than a Poisson number of
+    # cuts and lost stops explains; a value of one fragment is such a phrase more often
+    n, e = F.greatest(F.col("opened").cast("double"), F.lit(1.0)), F.greatest(cuts + stops, F.lit(1e-4))
+    chance = n * F.log(e) - e - (n * F.log(n) - n + F.log(2 * math.pi * n) / 2)
+    own = F.log(F.when(F.col("alone") == 1, OWN_ALONE).otherwise(OWN)) - F.log(n + 1) - chance
+    p_own = 1 / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), -own))))
+    is_cut = (1 - p_own) * cuts / (cuts + stops + 1e-9) + p_own * F.least(F.lit(1.0), cuts / n)
+    is_cut = F.least(F.lit(0.999), F.greatest(F.lit(0.001), is_cut))
     scored = best.select("row", (is_cut / (1 - is_cut)).alias("goes_on"))
     out = tails.join(word_odds, "word", "left").join(scored, "row", "left")
     one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
@@ -185,14 +190,14 @@ def _rates(stats: DataFrame) -> tuple[float, float]:
     open ends far more often than the rest; and the share of full stops left out, from contexts that mostly have one."""
     four = stats.filter("level = 1")
     inside = four.filter(F.col("stopped") <= F.col("passed") / 50)
-    rate = lambda d: (lambda r: (r["o"] or 0) / max(1, r["c"] or 0))(d.agg(F.sum("open").alias("o"), F.sum("chars").alias("c")).first())
+    rate = lambda d: (lambda r: (r["o"] or 0) / max(1, r["c"] or 0))(d.agg(F.sum("opened").alias("o"), F.sum("chars").alias("c")).first())
     hazard = max(rate(inside), 1e-7)
     for _ in range(8):
-        fresh = max(rate(inside.filter(F.col("open") <= 3 * hazard * F.col("chars") + 3)), 1e-7)
+        fresh = max(rate(inside.filter(F.col("opened") <= 3 * hazard * F.col("chars") + 3)), 1e-7)
         if abs(fresh - hazard) < 0.01 * hazard:
             break
         hazard = fresh
-    ends = four.filter(F.col("stopped") > F.col("passed") / 2).agg(F.sum(F.greatest(F.lit(0.0), F.col("open") - hazard * F.col("chars"))).alias("o"), F.sum("stopped").alias("s")).first()
+    ends = four.filter(F.col("stopped") > F.col("passed") / 2).agg(F.sum(F.greatest(F.lit(0.0), F.col("opened") - hazard * F.col("chars"))).alias("o"), F.sum("stopped").alias("s")).first()
     return hazard, max(1e-4, (ends["o"] or 0) / max(1, (ends["o"] or 0) + (ends["s"] or 0)))
 
 
