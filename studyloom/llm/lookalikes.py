@@ -6,10 +6,6 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 # Letters of other scripts that are drawn as the Latin letter in the same place of LATIN.
 LATIN = "ABESIJKMHOPCTXYZNaeopcyxsijhvdqwl"
 CYRILLIC = "АВЕЅІЈКМНОРСТХҮ··аеорсухѕіјһѵԁԛԝӏ"
@@ -111,7 +107,7 @@ def spell(word: str, context: str) -> str:
     return "".join(out)
 
 
-# ---- the same fold inside the JVM, for text without combining marks and ligatures
+# ---- the same fold as arguments of SQL's translate(), for text without combining marks and ligatures
 
 def _pairs() -> dict[str, str]:
     """Every character of the Basic Multilingual Plane whose skeleton is another single character, or nothing."""
@@ -129,25 +125,3 @@ def translate_args() -> tuple[str, str]:
     pairs = _pairs()
     kept, gone = [k for k, v in pairs.items() if v], [k for k, v in pairs.items() if not v]
     return "".join(kept + gone), "".join(pairs[k] for k in kept)
-
-
-def is_plain(c: Column) -> Column:
-    """Whether every character of c stands for itself and no look-alike can hide in it."""
-    return ~c.rlike(f"[^{PLAIN}]")
-
-
-def needs_python(c: Column) -> Column:
-    """Whether c has combining marks or characters that fold to several: the JVM's one-to-one fold isn't enough."""
-    return c.rlike("[\\p{M}\\x{FB00}-\\x{FB06}\\x{132}\\x{133}\\x{13F}\\x{140}\\x{149}\\x{1C4}-\\x{1CC}\\x{1F1}-\\x{1F3}\\x{10000}-\\x{10FFFF}]")
-
-
-@F.pandas_udf(T.StringType())
-def skeleton_udf(s):  # noqa: ANN001, ANN201
-    return s.map(skeleton, na_action="ignore")
-
-
-def skeleton_col(c: Column) -> Column:
-    """skeleton() as an expression: nothing to do for plain text, translate() for most other, Python for the rest only."""
-    of, to = translate_args()
-    rest = skeleton_udf(F.when(~is_plain(c) & needs_python(c), c))
-    return F.when(is_plain(c), c).when(rest.isNotNull(), rest).otherwise(F.translate(c, of, to))

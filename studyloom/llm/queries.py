@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm import canonical as p1
+from studyloom.llm import pair_defects as p5
 from studyloom.llm import repeated_lines as p2
 from studyloom.llm import truncation as p4
+from studyloom.plans.lineage import cut
 
 
 def _read(spark: SparkSession, at: str, table: str) -> DataFrame:
@@ -61,5 +63,26 @@ def p4_rates(spark: SparkSession, at: str) -> DataFrame:
     return p4.truncation_rates(p4.truncated(_values(spark, at)))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p4_found": p4_found, "p4_rates": p4_rates}
+def _pairs(spark: SparkSession, at: str) -> DataFrame:
+    """Every pair once: record_kind, record_key, question, answer, row."""
+    q = _questions(spark, at).select(F.lit("question").alias("record_kind"), "record_key", F.col("text").alias("question"), F.col("expected_answer").alias("answer"))
+    a = _read(spark, at, "study_attempts").groupBy(F.col("id").alias("record_key")).agg(F.first("question_text").alias("question"), F.first("answer_text").alias("answer"))
+    both = q.unionByName(a.withColumn("record_kind", F.lit("attempt")))
+    return both.withColumn("row", F.xxhash64("record_kind", "record_key"))
+
+
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    pairs = cut(_pairs(spark, at))
+    found = p5.defects(pairs).filter(F.size("labels") > 0)
+    return found.join(pairs, "row").select("record_kind", "record_key", F.col("labels")[0].alias("defect"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_cleaned": p2_cleaned,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
+    "p5_found": p5_found,
+}
 ORACLES: dict[str, str] = {}

@@ -6,11 +6,16 @@ united, cardinalities are exact, and lines are deleted where their own document'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import uuid_key
-from studyloom.llm.lookalikes import CAPITAL_ONLY, skeleton_col
+from studyloom.llm.canonical import two_hashes
+from studyloom.llm.lookalikes import CAPITAL_ONLY, skeleton
 from studyloom.plans.lineage import broadcast_if_small, cut
 
 #: A line standing in fewer rows than this keeps arrays of bits, a more frequent one bitmaps.
@@ -19,21 +24,42 @@ DENSE_ROWS = 4096
 BITS = 32768
 
 
-def line_key(text: Column) -> Column:
-    """What makes two lines the same: their look without case, white space and the value of digit runs. Keeps \\n."""
-    low = F.lower(skeleton_col(text))
-    small = F.when(low.rlike(r"[Ѐ-ӿ]"), F.translate(low, "".join(CAPITAL_ONLY), "".join(CAPITAL_ONLY.values()))).otherwise(low)
-    return F.regexp_replace(F.regexp_replace(small, r"(?U)[\s&&[^\n]]+", ""), r"\p{Nd}+", "0")
+_LOW = str.maketrans(CAPITAL_ONLY)
+_DIGITS = re.compile(r"\d+")
+_LINES = "chunk_id bigint, source string, doc string, line_no int, a bigint, b bigint"
+_LINE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def line_key(line: str) -> str:
+    """What makes two lines the same: their look without case, white space and the value of digit runs."""
+    low = skeleton(line.strip()).lower()
+    if not low.isascii():
+        low = low.translate(_LOW)
+    return _DIGITS.sub("0", "".join(low.split()))
+
+
+def _explode_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple[int, int] | None] = {}
+    for batch in batches:
+        rows = []
+        for chunk, source, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, line in enumerate(text.split("\n"), 1):
+                if line in known:
+                    h = known[line]
+                else:
+                    key = line_key(line)
+                    h = known[line] = two_hashes(key) if key else None
+                if h:
+                    rows.append((chunk, source, doc, n, *h))
+        if len(known) > 200_000:
+            known.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, _LINE_TYPES, strict=True)], names=[x.split()[0] for x in _LINES.split(", ")])
 
 
 def lines_of(chunks: DataFrame, chunk_id: str, document_id: str, source: str, text: str) -> DataFrame:
     """Every line that isn't empty: chunk_id, source, doc, line_no, a and b (128 bits of its key)."""
-    rows = chunks.filter(F.col(text).isNotNull()).select(
-        F.col(chunk_id).alias("chunk_id"), F.col(source).alias("source"), uuid_key(document_id).alias("doc"), F.posexplode(F.split(line_key(F.col(text)), "\n"))
-    )
-    return rows.filter(F.col("col") != "").select(
-        "chunk_id", "source", "doc", (F.col("pos") + 1).alias("line_no"), F.xxhash64("col").alias("a"), F.xxhash64(F.lit("studyloom"), "col").alias("b")
-    )
+    rows = chunks.filter(F.col(text).isNotNull()).select(F.col(chunk_id).cast("bigint"), F.col(source), uuid_key(document_id), F.col(text))
+    return rows.mapInArrow(_explode_lines, _LINES)
 
 
 def repeated_lines(
