@@ -128,9 +128,9 @@ def learn(questions: DataFrame) -> tuple[Languages, frozenset[str]]:
 # ---- labelling functions
 
 LF_NAMES = {
-    "empty": ("no_letter", "placeholder"),
+    "empty": ("no_letter", "placeholder", "no_content"),
     "copy": ("words_covered", "same_text", "trigram_overlap"),
-    "refusal": ("declines", "unknown", "off_subject", "about_answering"),
+    "refusal": ("declines_or_unknown", "unknown", "off_subject", "about_answering"),
     "language": ("closed_class", "script", "trigrams"),
     "truncated": ("leads_on", "cut_word", "combined"),
 }
@@ -158,7 +158,7 @@ class Voter:
         words = _WORD.findall(low)
         bare = "".join(words)
         none = not words or bare in PLACEHOLDERS
-        out = {"empty": [1 if not words else -1, 1 if words and bare in PLACEHOLDERS else 0 if not words else -1]}
+        out = {"empty": [1 if not words else 0, 1 if bare in PLACEHOLDERS else 0, 1 if none else -1]}
         if none:
             return out | {k: [-1] * len(LF_NAMES[k]) for k in ("copy", "refusal", "language")}
         q_low, q_words, q_count, q_frame, q_cyr, q_score = self.question(question or "")
@@ -180,10 +180,10 @@ class Voter:
         about = sum(w in self.subject for w in own_words)
         declines, unknown, speech = bool(DECLINE.search(own)), bool(UNKNOWN.search(own)), bool(SPEECH.search(own))
         out["refusal"] = [
-            1 if declines else -1,
+            1 if declines or unknown else -1,
             1 if unknown else 0,
             1 if not about and not any(w[0].isnumeric() for w in own_words) else -1,
-            1 if (speech or any(w in SELF for w in own_words)) and len(own_words) <= 30 else -1,
+            1 if (speech or any(w in SELF for w in own_words)) and len(own_words) <= 30 else 0,
         ]
         # language: of what is not quoted
         text, ws = (own.strip(), own_words) if own_words else (low, words)
