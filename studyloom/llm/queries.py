@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm import canonical as p1
+from studyloom.llm import containers as p6
+from studyloom.llm import mixing as p7
 from studyloom.llm import pair_defects as p5
+from studyloom.llm import prose as p8
 from studyloom.llm import repeated_lines as p2
 from studyloom.llm import truncation as p4
 from studyloom.plans.lineage import cut
@@ -77,6 +80,28 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return found.join(pairs, "row").select("record_kind", "record_key", F.col("labels")[0].alias("defect"))
 
 
+def p6_containers(spark: SparkSession, at: str) -> DataFrame:
+    return p6.fill_containers(_read(spark, at, "documents"), _read(spark, at, "container_specs"))
+
+
+def p6_fill(spark: SparkSession, at: str) -> DataFrame:
+    specs = _read(spark, at, "container_specs")
+    return p6.fill_rates(p6.fill_containers(_read(spark, at, "documents"), specs), specs)
+
+
+def p7_copies(spark: SparkSession, at: str) -> DataFrame:
+    return p7.mix(_read(spark, at, "documents"), _read(spark, at, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, at: str) -> DataFrame:
+    targets = _read(spark, at, "mix_targets")
+    return p7.shares(p7.mix(_read(spark, at, "documents"), targets), targets)
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    return p8.spam_pages(_read(spark, at, "documents")).filter("is_spam").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -84,5 +109,10 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p5_found": p5_found,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_copies": p7_copies,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 ORACLES: dict[str, str] = {}
