@@ -90,14 +90,20 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     edge = _edges(open_.withColumn("bin", first), missing)
     at = F.broadcast(rated.sparkSession.createDataFrame([(m, s, e, left) for (m, s), (e, left) in edge.items()] or [(None, None, None, None)], "mix_id int, source string, edge int, left_over double"))
     within = open_.withColumns({"bin1": first, "bin": inner}).join(at, ["mix_id", "source"]).filter(F.col("bin1") == F.col("edge"))
-    fine = _edges(within, {k: left for k, (_, left) in edge.items()}, nearest=True)
+    fine = _edges(within, {k: left for k, (_, left) in edge.items()})
     rows = [(m, s, e, fine.get((m, s), (0, 0.0))[0]) for (m, s), (e, _) in edge.items()]
     ends = F.broadcast(rated.sparkSession.createDataFrame(rows or [(None, None, None, None)], "mix_id int, source string, edge int, edge2 int"))
     more = F.when(F.col("place").isNull() | F.col("edge").isNull(), 0).when(first < F.col("edge"), 1).when((first == F.col("edge")) & (inner < F.col("edge2")), 1).otherwise(0)
-    return rated.join(ends, ["mix_id", "source"], "left").select("mix_id", "doc_id", "source", "n_tokens", "rate", (F.col("base") + more).cast("int").alias("copies"))
+    chosen = rated.join(ends, ["mix_id", "source"], "left").withColumn("more", more)
+    # what is still missing is met best by one document more, if any is small enough
+    short = chosen.groupBy("mix_id", "source").agg((F.max("target_tokens") - F.sum((F.col("base") + F.col("more")) * F.col("n_tokens"))).alias("short"))
+    fits = chosen.filter(F.col("place").isNotNull() & (F.col("more") == 0)).join(F.broadcast(short), ["mix_id", "source"]).filter(F.col("n_tokens") < 2 * F.col("short"))
+    last = F.broadcast(fits.groupBy("mix_id", "source").agg(F.min_by("doc_id", F.struct(F.abs(F.col("short") - F.col("n_tokens")), "doc_id")).alias("last_id")))
+    copies = F.col("base") + F.col("more") + F.when(F.col("doc_id") == F.col("last_id"), 1).otherwise(0)
+    return chosen.join(last, ["mix_id", "source"], "left").select("mix_id", "doc_id", "source", "n_tokens", "rate", copies.cast("int").alias("copies"))
 
 
-def _edges(rows: DataFrame, missing: dict, nearest: bool = False) -> dict:
+def _edges(rows: DataFrame, missing: dict) -> dict:
     """Per mix and source the bin in which the tokens reach what is missing, and what is missing before it."""
     bins = rows.groupBy("mix_id", "source", "bin").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most BINS for each row of targets
     by: dict = {}
@@ -108,7 +114,7 @@ def _edges(rows: DataFrame, missing: dict, nearest: bool = False) -> dict:
         left = missing.get(key, 0.0)
         edge = BINS
         for b, tokens in cells:
-            if left < tokens and not (nearest and left > tokens / 2):
+            if left < tokens:
                 edge = b
                 break
             left -= tokens

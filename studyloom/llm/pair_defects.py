@@ -6,6 +6,7 @@ cutoff chosen on held-out patterns."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.lookalikes import plainer
+from studyloom.llm.lookalikes import UNPLAIN, plainer
 from studyloom.llm.truncation import endings
 from studyloom.llm.wordlists import LANGUAGES, WORD_SETS
 from studyloom.plans.lineage import cut
@@ -29,7 +30,8 @@ SUBJECT_SHARE = 1e-4
 #: Hash buckets of the letter trigrams of the language model: its size is fixed.
 BUCKETS = 1 << 13
 
-_WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
+_WORD = re.compile(r"[^\W\d_]+|\d+")
+_QUOTES = regex.compile(r"[“„«\"(\[]")
 _QUOTED = regex.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|\([^()]*\)|\[[^\[\]]*\]")
 
 # What stands in a field that was left empty.
@@ -63,8 +65,9 @@ SELF = frozenset(_SELF)
 
 def fold(text: str) -> str:
     """Lower case, composed, without widths and invisible characters; look-alikes stay in their script."""
-    low = plainer(text).lower()
-    return " ".join(unicodedata.normalize("NFC", low).split())
+    if UNPLAIN.search(text):
+        text = unicodedata.normalize("NFC", plainer(text).lower())
+    return " ".join(text.lower().split())
 
 
 # ---- languages
@@ -76,12 +79,16 @@ def trigrams(text: str) -> list[int]:
 
 @lru_cache(1 << 15)
 def _hits(word: str) -> tuple[int, ...]:
-    return tuple(word in WORD_SETS[k] for k in LANGUAGES)
+    return tuple(k for k, lang in enumerate(LANGUAGES) if word in WORD_SETS[lang])
 
 
-def frame_votes(words: list[str]) -> np.ndarray:
+def frame_votes(words: list[str]) -> list[int]:
     """Closed-class words of each language among words."""
-    return np.sum([_hits(w) for w in words], axis=0) if words else np.zeros(len(LANGUAGES), int)
+    votes = [0] * len(LANGUAGES)
+    for w in words:
+        for k in _hits(w):
+            votes[k] += 1
+    return votes
 
 
 class Languages:
@@ -97,19 +104,24 @@ class Languages:
 
 def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        counts = [Counter() for _ in LANGUAGES]
         subject = Counter()
         for text in batch.column(0).to_pylist():
             low = fold(text)
             words = _WORD.findall(low)
-            subject.update({w for w in words if not any(_hits(w)) and not w[0].isnumeric()})
-            votes = np.sort(frame_votes(words))
-            if votes[-1] >= 2 and votes[-1] > votes[-2]:
-                np.add.at(counts[int(np.argmax(frame_votes(words)))], trigrams(low), 1)
-        lang, bucket = np.nonzero(counts)
-        rows = [("t", f"{a}:{b}", int(counts[a, b])) for a, b in zip(lang.tolist(), bucket.tolist(), strict=True)]
+            subject.update({w for w in words if not _hits(w) and not w[0].isnumeric()})
+            votes = frame_votes(words)
+            first, second = sorted(votes)[:-3:-1]
+            if first >= 2 and first > second:
+                around = f" {low} "
+                counts[votes.index(first)].update(map("".join, zip(around, around[1:], around[2:], strict=False)))
+        hashed = Counter()
+        for k, seen in enumerate(counts):
+            for tri, n in seen.items():
+                hashed[k, xxhash.xxh32_intdigest(tri) % BUCKETS] += n
+        rows = [("t", f"{k}:{b}", n) for (k, b), n in hashed.items()]
         rows += [("w", w, n) for w, n in subject.items()] + [("n", "", batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "key", "n"])
 
 
 def learn(questions: DataFrame) -> tuple[Languages, frozenset[str]]:
@@ -136,9 +148,13 @@ LF_NAMES = {
 }
 
 
+_CYRILLIC, _LETTER = regex.compile(r"[Ѐ-ӿ]"), regex.compile(r"\p{L}")
+
+
 def _share_cyrillic(text: str) -> float:
-    letters = [ch for ch in text if ch.isalpha()]
-    return sum("Ѐ" <= ch <= "ӿ" for ch in letters) / len(letters) if letters else 0.5
+    if not _CYRILLIC.search(text):
+        return 0.0
+    return len(_CYRILLIC.findall(text)) / max(1, len(_LETTER.findall(text)))
 
 
 class Voter:
@@ -151,9 +167,11 @@ class Voter:
     def _question(self, text: str) -> tuple:
         low = fold(text)
         words = _WORD.findall(low)
-        return low, words, Counter(words), frame_votes(words), _share_cyrillic(low), self.languages.scores(low)
+        frame = frame_votes(words)
+        lang = frame.index(max(frame)) if sorted(frame)[-1] > sorted(frame)[-2] else int(np.argmax(self.languages.scores(low)))
+        return low, "".join(words), frozenset(words), lang, _share_cyrillic(low)
 
-    def votes(self, question: str, answer: str | None) -> dict[str, list[int]]:
+    def votes(self, question: str | None, answer: str | None) -> dict[str, list[int]]:
         low = fold(answer or "")
         words = _WORD.findall(low)
         bare = "".join(words)
@@ -161,43 +179,40 @@ class Voter:
         out = {"empty": [1 if not words else 0, 1 if bare in PLACEHOLDERS else 0, 1 if none else -1]}
         if none:
             return out | {k: [-1] * len(LF_NAMES[k]) for k in ("copy", "refusal", "language")}
-        q_low, q_words, q_count, q_frame, q_cyr, q_score = self.question(question or "")
-        own = _QUOTED.sub(" ", low)
-        own_words = _WORD.findall(own)
+        q_low, q_bare, q_set, lang, q_cyr = self.question(question or "")
+        own = _QUOTED.sub(" ", low) if _QUOTES.search(low) else low
+        own_words = _WORD.findall(own) if own is not low else words
 
         # copy: hardly a word that is not the question's, and nearly all of the question's
-        inside = sum(w in q_count for w in words) / len(words)
-        covered = sum(w in set(words) for w in q_count) / max(1, len(q_count))
-        a_tri, q_tri = {low[i : i + 3] for i in range(len(low) - 2)}, {q_low[i : i + 3] for i in range(len(q_low) - 2)}
-        jac = len(a_tri & q_tri) / max(1, len(a_tri | q_tri))
-        strip = lambda ws: "".join(ws)
-        out["copy"] = [
-            1 if inside >= 0.8 and covered >= 0.8 else -1,
-            1 if strip(q_words) and strip(q_words) in strip(words) and inside >= 0.7 else 0,
-            1 if jac >= 0.7 else -1 if jac < 0.5 else 0,
-        ]
-        # refusal
+        inside = sum(w in q_set for w in words) / len(words)
+        if inside < 0.5:
+            out["copy"] = [-1, 0, -1]
+        else:
+            covered = len(q_set.intersection(words)) / max(1, len(q_set))
+            a_tri, q_tri = {low[i : i + 3] for i in range(len(low) - 2)}, {q_low[i : i + 3] for i in range(len(q_low) - 2)}
+            jac = len(a_tri & q_tri) / max(1, len(a_tri | q_tri))
+            out["copy"] = [1 if inside >= 0.8 and covered >= 0.8 else -1, 1 if q_bare and q_bare in bare and inside >= 0.7 else 0, 1 if jac >= 0.7 else -1 if jac < 0.5 else 0]
+        # refusal: who speaks of the subject at some length doesn't decline
         about = sum(w in self.subject for w in own_words)
-        declines, unknown, speech = bool(DECLINE.search(own)), bool(UNKNOWN.search(own)), bool(SPEECH.search(own))
+        silent = about > 2
+        unknown = not silent and bool(UNKNOWN.search(own))
         out["refusal"] = [
-            1 if declines or unknown else -1,
+            1 if unknown or not silent and DECLINE.search(own) else -1,
             1 if unknown else 0,
             1 if not about and not any(w[0].isnumeric() for w in own_words) else -1,
-            1 if (speech or any(w in SELF for w in own_words)) and len(own_words) <= 30 else 0,
+            1 if not silent and len(own_words) <= 30 and (any(w in SELF for w in own_words) or SPEECH.search(own)) else 0,
         ]
         # language: of what is not quoted
-        text, ws = (own.strip(), own_words) if own_words else (low, words)
+        text, ws = (own, own_words) if own_words else (low, words)
         frame, cyr = frame_votes(ws), _share_cyrillic(text)
-        q = int(np.argmax(q_frame + q_score / 1e4)) if q_frame.any() else int(np.argmax(q_score))
-        best = int(np.argmax(frame))
-        gap = int(frame[best] - frame[q])
-        closed = 1 if gap >= 2 and frame[best] >= 2 * frame[q] else -1 if frame[q] and gap <= 0 else 0
-        script = 1 if abs(cyr - q_cyr) > 0.6 and (cyr > 0.6 or q_cyr > 0.6) else -1 if q_cyr > 0.6 and cyr > 0.4 else 0
+        best = max(frame)
+        closed = 1 if best - frame[lang] >= 2 and best >= 2 * frame[lang] else -1 if frame[lang] and best <= frame[lang] else 0
+        script = 1 if abs(cyr - q_cyr) > 0.6 and max(cyr, q_cyr) > 0.6 else -1 if q_cyr > 0.6 and cyr > 0.4 else 0
         if closed == -1 and script != 1:
             tri = -1
         else:
-            s = self.languages.scores(text)
-            margin = (s.max() - s[q]) / max(8, len(text))
+            s = self.languages.scores(text.strip())
+            margin = (s.max() - s[lang]) / max(8, len(text))
             tri = 1 if margin > 0.25 else -1 if margin < 0.08 else 0
         out["language"] = [closed, script, tri]
         return out

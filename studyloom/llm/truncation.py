@@ -7,6 +7,7 @@ that ends or goes on, and whether the last word is a whole one, both counted ove
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ LEAST_LIMIT = 16
 #: Values a source needs for a length fit of its own.
 LEAST_VALUES = 30
 
-_ITEM = regex.compile(r"https?://\S+|[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*'?|\p{N}+|[^\s\p{L}\p{N}]")
+_ITEM = re.compile(r"https?://\S+|[^\W\d_]+(?:-[^\W\d_]+)*'?|\d+|[^\w\s]")
 _MARK = regex.compile(r"(?:\s*\[\s*(?:\.{2,}|…)\s*\]|\s*(?:\.{2,}|…))\s*$")
 # Phrases that end a list on purpose, as far as they stand before a mark of omission or at the end.
 _AND_SO_ON = ("and so on", "and so forth", "et cetera", "etc", "und so weiter", "usw", "et ainsi de suite", "y así sucesivamente", "y demás", "и так далее", "и тому подобное")
@@ -44,28 +45,28 @@ _STOPS = ".!?"
 
 def items(text: str) -> tuple[list[str], list[str], list[int]]:
     """The frame of text: closed-class words, '#', 'URL', punctuation and 'X' for a run of other words; its words; and the
-    characters up to the end of each item since the one before."""
-    out, seen, width, last = [], [], [], 0
-    for m in _ITEM.finditer(text.replace("’", "'")):
-        tok, run = m.group(), False
+    characters of each item with the blank before it."""
+    out, seen, width = [], [], []
+    for tok in _ITEM.findall(text.replace("’", "'") if "’" in text else text):
         if tok[0].isalpha():
             if tok.startswith(("http://", "https://")):
                 out.append("URL")
             else:
                 seen.append(tok)
-                if (w := tok.rstrip("'")) in _FRAME:
-                    out.append(w)
+                if (tok[:-1] if tok[-1] == "'" else tok) in _FRAME:
+                    out.append(tok[:-1] if tok[-1] == "'" else tok)
                 elif out and out[-1] == "X":
-                    run = True
+                    width[-1] += len(tok) + 1
+                    continue
                 else:
                     out.append("X")
+            width.append(len(tok) + 1)
+        elif tok[0].isnumeric():
+            out.append("#")
+            width.append(len(tok) + 1)
         else:
-            out.append("#" if tok[0].isnumeric() else tok)
-        if run:
-            width[-1] += m.end() - last
-        else:
-            width.append(m.end() - last)
-        last = m.end()
+            out.append(tok)
+            width.append(1)
     return out, seen, width
 
 
