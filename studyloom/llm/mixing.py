@@ -18,6 +18,8 @@ from studyloom.plans.lineage import cut
 STEPS, ENOUGH = 40, 1e-6
 #: Bins of one pass of the rounding; two passes tell 2 ** 22 places apart.
 BINS = 1 << 11
+#: Rounds of rounding at most, and the share of a source's tokens that may be missing after them (a last document aside).
+ROUNDS, NEAR = 8, 1e-3
 
 
 def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -78,26 +80,33 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     rate = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.exp(F.least(F.lit(60.0), F.col("lam") * F.col("n_tokens") / F.col("mean_tokens")))))
     rated = sized.join(plan, "source").withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(0.0))
     base = F.floor("rate").cast("int")
-    place = (F.shiftrightunsigned(F.xxhash64("mix_id", "doc_id"), 11) / F.lit(float(1 << 53))) / (F.col("rate") - F.floor("rate"))
-    rated = rated.withColumns({"base": base, "place": F.when(F.col("rate") > base, place)})
-    rated = cut(rated.select("mix_id", "doc_id", "source", "n_tokens", "rate", "base", "place", "target_tokens"))
-    # of the documents with a fraction those with the lowest hash / fraction get a copy more, up to the missing tokens
-    first = F.least(F.floor(F.col("place") * (BINS / 4)), F.lit(BINS - 1)).cast("int")
-    inner = F.least(F.floor((F.col("place") * (BINS / 4) - first) * BINS), F.lit(BINS - 1)).cast("int")
-    fixed = rated.groupBy("mix_id", "source").agg(F.max("target_tokens").alias("target"), F.sum(F.col("base") * F.col("n_tokens")).alias("fixed")).collect()
-    missing = {(r["mix_id"], r["source"]): r["target"] - r["fixed"] for r in fixed}  # one row for each row of targets
-    open_ = rated.filter(F.col("place").isNotNull() & (F.col("n_tokens") > 0))
-    edge = _edges(open_.withColumn("bin", first), missing)
-    at = F.broadcast(rated.sparkSession.createDataFrame([(m, s, e, left) for (m, s), (e, left) in edge.items()] or [(None, None, None, None)], "mix_id int, source string, edge int, left_over double"))
-    within = open_.withColumns({"bin1": first, "bin": inner}).join(at, ["mix_id", "source"]).filter(F.col("bin1") == F.col("edge"))
-    fine = _edges(within, {k: left for k, (_, left) in edge.items()})
-    rows = [(m, s, e, fine.get((m, s), (0, 0.0))[0]) for (m, s), (e, _) in edge.items()]
-    ends = F.broadcast(rated.sparkSession.createDataFrame(rows or [(None, None, None, None)], "mix_id int, source string, edge int, edge2 int"))
-    more = F.when(F.col("place").isNull() | F.col("edge").isNull(), 0).when(first < F.col("edge"), 1).when((first == F.col("edge")) & (inner < F.col("edge2")), 1).otherwise(0)
-    chosen = rated.join(ends, ["mix_id", "source"], "left").withColumn("more", more)
+    rated = rated.withColumn("base", base)
+    chosen = cut(rated.select("mix_id", "doc_id", "source", "n_tokens", "rate", "base", "cap", "target_tokens").withColumn("more", F.lit(0)))
+    # of the documents with a fraction those with the lowest hash / fraction get a copy more, up to the missing tokens; where a
+    # large document ends this early, the smaller ones behind it are asked again
+    place = lambda turn: F.try_divide(F.shiftrightunsigned(F.xxhash64("mix_id", "doc_id", F.lit(turn)), 11) / F.lit(float(1 << 53)), F.col("rate") - F.col("base"))
+    open_for_more = (F.col("rate") > F.col("base")) & (F.col("base") + F.col("more") < F.col("cap")) & (F.col("n_tokens") > 0)
+    first = F.floor(F.least(F.col("place") * (BINS / 4), F.lit(BINS - 1.0))).cast("int")
+    inner = F.floor(F.least((F.col("place") * (BINS / 4) - first) * BINS, F.lit(BINS - 1.0))).cast("int")
+    keyed = lambda rows, fields: F.broadcast(chosen.sparkSession.createDataFrame(rows or [(None,) * len(fields.split(", "))], fields))
+    for turn in range(ROUNDS):
+        got = chosen.groupBy("mix_id", "source").agg(F.max("target_tokens").alias("target"), F.sum((F.col("base") + F.col("more")) * F.col("n_tokens")).alias("have")).collect()
+        missing = {(r["mix_id"], r["source"]): r["target"] - r["have"] for r in got if r["target"] - r["have"] > NEAR * r["target"]}  # one row for each row of targets
+        if not missing:
+            break
+        left = keyed([(*k, v) for k, v in missing.items()], "mix_id int, source string, missing double")
+        open_ = chosen.filter(open_for_more).join(left, ["mix_id", "source"]).filter(F.col("n_tokens") <= F.col("missing")).withColumn("place", place(turn))
+        edge = _edges(open_.withColumn("bin", first), missing)
+        at = keyed([(*k, e) for k, (e, _) in edge.items()], "mix_id int, source string, edge int")
+        within = open_.withColumns({"bin1": first, "bin": inner}).join(at, ["mix_id", "source"]).filter(F.col("bin1") == F.col("edge"))
+        fine = _edges(within, {k: v for k, (_, v) in edge.items()})
+        ends = keyed([(*k, missing[k], e, fine.get(k, (0, 0.0))[0]) for k, (e, _) in edge.items()], "mix_id int, source string, missing double, edge int, edge2 int")
+        asked = F.col("edge").isNotNull() & open_for_more & (F.col("n_tokens") <= F.col("missing"))
+        one = F.when(asked & ((first < F.col("edge")) | (first == F.col("edge")) & (inner < F.col("edge2"))), 1).otherwise(0)
+        chosen = cut(chosen.join(ends, ["mix_id", "source"], "left").withColumn("place", place(turn)).withColumn("more", F.col("more") + one).drop("missing", "edge", "edge2", "place"))
     # what is still missing is met best by one document more, if any is small enough
     short = chosen.groupBy("mix_id", "source").agg((F.max("target_tokens") - F.sum((F.col("base") + F.col("more")) * F.col("n_tokens"))).alias("short"))
-    fits = chosen.filter(F.col("place").isNotNull() & (F.col("more") == 0)).join(F.broadcast(short), ["mix_id", "source"]).filter(F.col("n_tokens") < 2 * F.col("short"))
+    fits = chosen.filter(open_for_more).join(F.broadcast(short), ["mix_id", "source"]).filter(F.col("n_tokens") < 2 * F.col("short"))
     last = F.broadcast(fits.groupBy("mix_id", "source").agg(F.min_by("doc_id", F.struct(F.abs(F.col("short") - F.col("n_tokens")), "doc_id")).alias("last_id")))
     copies = F.col("base") + F.col("more") + F.when(F.col("doc_id") == F.col("last_id"), 1).otherwise(0)
     return chosen.join(last, ["mix_id", "source"], "left").select("mix_id", "doc_id", "source", "n_tokens", "rate", copies.cast("int").alias("copies"))
