@@ -1,19 +1,20 @@
 """Problem 8: keyword-stuffed and link-list pages, by an n-gram model of function words and word classes trained on prose.
 
 Every page becomes lines of classes: closed-class words stand for themselves, other words for their class, and a word that
-the page has just used for 'again'. A trigram model with back-off is trained on the pages that read like prose; a line whose
-perplexity under it is abnormally high or low is not prose. A page is spam when most of its text lies in such lines and the
-lines are of the spam kinds (repetition, links, tags, products), not those of contents, glossaries or references."""
+the page has just used for 'again'. A trigram model with back-off is trained on the lines of all pages that read like prose; a
+line whose perplexity under it is abnormally high or low is not prose. A page is spam when most of its text lies in such lines
+and is made of repetitions, links, tags or products, not of contents, glossaries or references."""
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,84 +29,95 @@ RECENT = 12
 BUCKETS = 1 << 17
 #: Rounds of training: each leaves out what the round before found abnormal.
 ROUNDS = 2
-
-_SPACED = regex.compile(r"(?<!\S)[\p{L}\p{N}](?:[.\-_*·]? ?[\p{L}\p{N}]){3,}(?!\S)")
-_DOTTED = regex.compile(r"(?:[\p{L}\p{N}][.\-_*·]){3,}[\p{L}\p{N}]?")
-_TOKEN = regex.compile(r"https?://[^\s\"<>)\]]+|www\.\S+|<[^<>]{1,200}>|#[\p{L}\p{N}_']+|[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*|\p{N}+(?:[.,]\p{N}+)*|[^\s\p{L}\p{N}]")
-_PRICE = regex.compile(r"[$€£¥]\s?\d|\d\s?[$€£¥]|\bSKU\b|\b[A-Z]{2,4}-\d{3,}")
-_STOP = regex.compile(r"[.!?…:]['\"”’»)\]]*\s*$")
-_REFERENCE = regex.compile(r"^\s*(?:\[?\d{1,3}[\].)]|[-•*])\s+.*?(?:\b(?:1[5-9]|20)\d\d\b).*$")
-_CONTENTS = regex.compile(r"(?:\.\s?){3,}\s*\d+\s*$|\s\d+\s*$")
-
-
-def classes(line: str, recent: deque) -> tuple[list[str], list[str], int]:
-    """The classes of a line, its words that aren't closed-class, and how many of these came again."""
-    out, content, again = [], [], 0
-    for tok in _TOKEN.findall(line):
-        if tok[0] == "#" and len(tok) > 1:
-            out.append("<tag>")
-            content.append(tok.lower())
-        elif tok.startswith(("http", "www.")) and "." in tok:
-            out.append("<url>")
-        elif tok[0] == "<" and len(tok) > 1:
-            out.append("<url>" if "href" in tok else "<markup>")
-        elif tok[0].isalpha():
-            low = tok.lower()
-            parts = regex.split("['’]", low)
-            if low in FRAME or all(p in FRAME for p in parts if p):
-                out.append(low)
-                continue
-            for p in parts[:-1]:
-                if p in FRAME:
-                    out.append(p)
-            word = parts[-1]
-            content.append(word)
-            if seen := recent.count(word):
-                again += 1
-                out.append(f"<again{min(seen, 3)}>")
-            else:
-                out.append("<Word>" if tok[0].isupper() else "<word>")
-            recent.append(word)
-        elif tok[0].isnumeric():
-            out.append("<number>")
-        else:
-            out.append(tok)
-    return out, content, again
-
-
-class Page:
-    """A page's lines with their classes and what they are made of."""
-
-    def __init__(self, text: str) -> None:
-        text = compose(text, {})
-        # letters set apart by blanks or dots are the word they spell
-        text = _DOTTED.sub(lambda m: regex.sub(r"[.\-_*·]", "", m.group()), text)
-        recent: deque = deque(maxlen=RECENT)
-        self.lines, self.content = [], Counter()
-        self.links = self.tags = self.prices = self.references = self.contents = 0
-        self.n_words = self.n_frame = self.n_again = 0
-        for line in text.split("\n"):
-            if not line.strip():
-                continue
-            cs, content, again = classes(line, recent)
-            kind = ""
-            if any(c == "<url>" for c in cs):
-                kind = "reference" if _REFERENCE.match(line) else "link"
-            elif _PRICE.search(line):
-                kind = "price"
-            elif _CONTENTS.search(line) and not again:
-                kind = "contents"
-            frame = len([c for c in cs if c[0].isalpha()])
-            self.lines.append((cs, kind, len(content), frame, again, bool(_STOP.search(line))))
-            self.content.update(content)
-            self.n_words += len(content) + frame
-            self.n_frame += frame
-            self.n_again += again
-
-    def prose_like(self) -> bool:
-        """Fit for the first round of training: mostly closed sentences with function words and few repetitions."""
-        closed = sum(n + f for _, _, n, f, _, stop in self.lines if stop)
-        return self.n_words >= 20 and self.n_frame >= 0.15 * self.n_words and self.n_again <= 0.25 * self.n_words and closed >= 0.7 * self.n_words
+#: Classes of the shortest line that the model is trained on.
+LEAST_LINE = 4
+
+_DOTS = re.compile(r"\w[.\-*·]\w[.\-*·]\w[.\-*·]")
+_DOTTED = re.compile(r"(?:\w[.\-*·]){3,}\w?")
+_TOKEN = re.compile(r"https?://[^\s\"<>)\]]+|www\.\S+|<[^<>]{1,200}>|#[\w']+|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+(?:[.,]\d+)*|[^\s\w]|_")
+_PRICE = re.compile(r"[$€£¥]\s?\d|\d\s?[$€£¥]|\bSKU\b|\b[A-Z]{2,4}-\d{3,}")
+_STOP = re.compile(r"[.!?…:]['\"”’»)\]]*\s*$")
+_REFERENCE = re.compile(r"^\s*(?:\[?\d{1,3}[\].)]|[-•*])\s+.*?(?:\b(?:1[5-9]|20)\d\d\b)")
+_CONTENTS = re.compile(r"(?:\.\s?){3,}\s*\d+\s*$|\s\d+\s*$")
+_AGAIN = ("", "<again1>", "<again2>", "<again3>")
+
+
+@lru_cache(1 << 17)
+def _kind(tok: str) -> tuple[tuple[str, ...], str | None, str | None]:
+    """What a token is apart from its neighbours: classes that stand in any case, the class it has when new, its word."""
+    if tok[0] == "#" and len(tok) > 1:
+        return ("<tag>",), None, tok.lower()
+    if tok.startswith(("http", "www.")) and "." in tok:
+        return ("<url>",), None, None
+    if tok[0] == "<" and len(tok) > 1:
+        return ("<url>" if "href" in tok else "<markup>",), None, None
+    if tok[0].isalpha():
+        low = tok.lower()
+        parts = re.split("['’]", low)
+        if low in FRAME or all(p in FRAME for p in parts if p):
+            return (low,), None, None
+        return tuple(p for p in parts[:-1] if p in FRAME), "<Word>" if tok[0].isupper() else "<word>", parts[-1]
+    if tok[0].isnumeric():
+        return ("<number>",), None, None
+    return (tok,), None, None
+
+
+_PAGE = "doc_id bigint, prose boolean, lines array<string>, kinds array<string>, n_words int, n_frame int, n_again int, n_content int, n_distinct int"
+_PAGE_TYPES = [pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.int32()] * 5]
+
+
+def parse(text: str) -> tuple:
+    """A page as its lines of classes (joined by blanks), the kind of each line, and what its words are.
+
+    prose: fit for training, mostly closed sentences with function words and few repetitions."""
+    text = compose(text, {})
+    if _DOTS.search(text):  # letters set apart by signs are the word they spell
+        text = _DOTTED.sub(lambda m: re.sub(r"[.\-*·]", "", m.group()), text)
+    recent: deque = deque(maxlen=RECENT)
+    lines, kinds, seen = [], [], set()
+    n_content = n_frame = n_again = closed = 0
+    for line in text.split("\n"):
+        tokens = _TOKEN.findall(line)
+        if not tokens:
+            continue
+        cs: list[str] = []
+        again = content = 0
+        for tok in tokens:
+            always, new, word = _kind(tok)
+            cs += always
+            if word is not None:
+                content += 1
+                seen.add(word)
+                if new is not None:
+                    if times := recent.count(word):
+                        again += 1
+                        new = _AGAIN[min(times, 3)]
+                    cs.append(new)
+                    recent.append(word)
+        if not cs:
+            continue
+        frame = sum(c[0].isalpha() for c in cs)
+        kind = ""
+        if "<url>" in cs:
+            kind = "reference" if _REFERENCE.match(line) else "link"
+        elif _PRICE.search(line):
+            kind = "price"
+        elif not again and _CONTENTS.search(line):
+            kind = "contents"
+        if _STOP.search(line):
+            closed += content + frame
+        lines.append(" ".join(cs))
+        kinds.append(kind)
+        n_content, n_frame, n_again = n_content + content, n_frame + frame, n_again + again
+    n_words = n_content + n_frame
+    prose = n_words >= 20 and n_frame >= 0.15 * n_words and n_again <= 0.25 * n_words and closed >= 0.7 * n_words
+    return prose, lines, kinds, n_words, n_frame, n_again, n_content, len(seen)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(doc, *parse(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 9, _PAGE_TYPES, strict=True)], names=[x.split()[0] for x in _PAGE.split(", ")])
 
 
 def _bucket(*parts: str) -> int:
@@ -116,40 +128,38 @@ class Model:
     """Interpolated trigrams over classes, counted in hash buckets."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts  # rows: trigram, its context, bigram, its context, unigram; the last cell of the last row the total
+        self.counts = counts  # rows: trigram, its context, bigram, its context, unigram
         self.total = max(1.0, float(counts[4].sum()))
         self.cache: dict[tuple, float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
-        key = (a, b, c)
-        if (have := self.cache.get(key)) is not None:
-            return have
+        """Bits of class c after a and b."""
         n = self.counts
         p1 = (n[4, _bucket(c)] + 0.1) / (self.total + 0.1 * 2000)
-        t2, c2 = n[2, _bucket(b, c)], n[3, _bucket(b)]
-        p2 = (t2 + 2 * p1) / (c2 + 2)
-        t3, c3 = n[0, _bucket(a, b, c)], n[1, _bucket(a, b)]
-        p3 = (t3 + 2 * p2) / (c3 + 2)
+        p2 = (n[2, _bucket(b, c)] + 2 * p1) / (n[3, _bucket(b)] + 2)
+        p3 = (n[0, _bucket(a, b, c)] + 2 * p2) / (n[1, _bucket(a, b)] + 2)
+        bits = -math.log2(max(1e-12, float(p3)))
         if len(self.cache) < 400_000:
-            self.cache[key] = -math.log2(max(1e-12, p3))
-        return -math.log2(max(1e-12, p3))
+            self.cache[a, b, c] = bits
+        return bits
 
-    def line(self, cs: list[str]) -> float:
-        """Mean bits per class."""
-        seq = ["^", "^", *cs, "$"]
-        return sum(self.cost(*seq[i - 2 : i + 1]) for i in range(2, len(seq))) / (len(seq) - 2)
+    def line(self, cs: str) -> float:
+        """Mean bits per class of a line."""
+        seq = ["^", "^", *cs.split(" "), "$"]
+        have, total = self.cache, 0.0
+        for gram in zip(seq, seq[1:], seq[2:], strict=False):
+            bits = have.get(gram)
+            total += self.cost(*gram) if bits is None else bits
+        return total / (len(seq) - 2)
 
 
-def _count(lines: list[list[str]]) -> np.ndarray:
-    counts = np.zeros((5, BUCKETS), np.int64)
-    grams = Counter()
-    for cs in lines:
-        seq = ["^", "^", *cs, "$"]
-        grams.update(zip(seq, seq[1:], seq[2:], strict=False))
-    for (a, b, c), n in grams.items():
-        for row, key in enumerate((_bucket(a, b, c), _bucket(a, b), _bucket(b, c), _bucket(b), _bucket(c))):
-            counts[row, key] += n
-    return counts
+def _trainable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of prose pages, with how often they came."""
+    for batch in batches:
+        seen = Counter()
+        for lines, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen.update(line for line, kind in zip(lines, kinds, strict=True) if kind not in ("link", "price") and line.count(" ") >= LEAST_LINE - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["line", "n"])
 
 
 _COUNTS = "r int, k int, n bigint"
@@ -158,106 +168,103 @@ _COUNTS = "r int, k int, n bigint"
 def _training(model: Model | None, normal: tuple[float, float] | None):  # noqa: ANN202
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, bits = [], []
-            for text in batch.column(0).to_pylist():
-                page = Page(text)
-                if not page.prose_like():
+            grams = Counter()
+            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if model is not None and not normal[0] <= model.line(line) <= normal[1]:
                     continue
-                kept = [cs for cs, kind, n, f, _, _ in page.lines if n + f >= 4 and kind not in ("link", "price")]
-                if model is not None:
-                    cost = [model.line(cs) for cs in kept]
-                    bits += cost
-                    kept = [cs for cs, c in zip(kept, cost, strict=True) if normal[0] <= c <= normal[1]]
-                lines += kept
-            counts = _count(lines)
+                seq = ["^", "^", *line.split(" "), "$"]
+                for gram in zip(seq, seq[1:], seq[2:], strict=False):
+                    grams[gram] += n
+            counts = np.zeros((5, BUCKETS), np.int64)
+            for (a, b, c), n in grams.items():
+                for row, key in enumerate((_bucket(a, b, c), _bucket(a, b), _bucket(b, c), _bucket(b), _bucket(c))):
+                    counts[row, key] += n
             r, k = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(k, pa.int32()), pa.array(counts[r, k], pa.int64())], names=["r", "k", "n"])
 
     return count
 
 
-def _fit(pages: DataFrame, model: Model | None, normal: tuple[float, float] | None) -> Model:
+def _fit(lines: DataFrame, model: Model | None, normal: tuple[float, float] | None) -> Model:
     table = np.zeros((5, BUCKETS), np.float32)
-    counts = pages.mapInArrow(_training(model, normal), _COUNTS).groupBy("r", "k").agg(F.sum("n").alias("n"))
+    counts = lines.mapInArrow(_training(model, normal), _COUNTS).groupBy("r", "k").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # at most 5 * BUCKETS rows, whatever the corpus
     table[found.column("r").to_numpy(), found.column("k").to_numpy()] = found.column("n").to_numpy()
     return Model(table)
 
 
 def _bits(model: Model):  # noqa: ANN202
-    """A histogram (tenths of a bit) of the cost of prose-like pages' lines."""
+    """A histogram (tenths of a bit) of the cost of the training lines."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = Counter()
-            for text in batch.column(0).to_pylist():
-                page = Page(text)
-                if page.prose_like():
-                    for cs, kind, n, f, _, _ in page.lines:
-                        if n + f >= 4 and kind not in ("link", "price"):
-                            seen[round(10 * model.line(cs))] += n + f
+            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[round(10 * model.line(line))] += n * (line.count(" ") + 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
 
     return count
 
 
-def train(pages: DataFrame, text: str = "text") -> tuple[Model, tuple[float, float]]:
-    """The prose model of all pages and the range of bits a class that is normal for prose lines."""
-    texts = pages.filter(F.col(text).isNotNull()).select(text)
+def train(pages: DataFrame) -> tuple[Model, tuple[float, float]]:
+    """The prose model of all parsed pages and the range of bits a class that is normal for prose lines."""
+    lines = pages.filter("prose").select("lines", "kinds").mapInArrow(_trainable, "line string, n bigint")
+    lines = cut(lines.groupBy("line").agg(F.sum("n").alias("n")))
     model, normal = None, None
     for _ in range(ROUNDS):
-        model = _fit(texts, model, normal)
-        rows = sorted(texts.mapInArrow(_bits(model), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect())  # at most some hundreds
+        model = _fit(lines, model, normal)
+        rows = sorted(lines.mapInArrow(_bits(model), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect())  # at most some hundreds
         if not rows:
             return model, (0.0, 40.0)
         k, n = np.array([r["k"] for r in rows]) / 10, np.array([r["n"] for r in rows], dtype=float)
         at = np.cumsum(n) / n.sum()
         low, mid, high = (k[np.searchsorted(at, q)] for q in (0.25, 0.5, 0.75))
         spread = max(0.2, (high - low) / 1.35)
-        normal = (mid - 4 * spread, mid + 4 * spread)
+        normal = (mid - 4 * spread, mid + 4 * spread)  # of a line; a whole page varies less
     return model, normal
 
 
-_SCORE = "doc_id bigint, n_words int, bits double, abnormal double, again double, links double, tags double, prices double, contents double, distinct double, frame double"
+_SCORE = "doc_id bigint, n_words int, bits double, page_abnormal boolean, abnormal double, again double, links double, tags double, prices double, contents double, distinct double, frame double"
 
 
 def _score(model: Model, normal: tuple[float, float]):  # noqa: ANN202
+    middle, half = (normal[0] + normal[1]) / 2, (normal[1] - normal[0]) / 4
+    inner = (middle - half, middle + half)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(text)
+            for doc, lines, kinds, n_words, n_frame, n_again, n_content, n_distinct in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size = Counter()
                 odd = cost = 0.0
-                for cs, kind, n, f, again, _ in page.lines:
-                    w = max(1, len(cs))
-                    bits = model.line(cs)
-                    # a run of repetitions, links, tags or prices is abnormal however the model has seen such lines
+                for line, kind in zip(lines, kinds, strict=True):
+                    w = line.count(" ") + 1
+                    bits = model.line(line)
                     size["all"] += w
                     size[kind] += w
-                    size["tag"] += sum(c == "<tag>" for c in cs)
+                    size["tag"] += line.count("<tag>")
                     cost += bits * w
                     if kind in ("link", "price") or not normal[0] <= bits <= normal[1]:
                         odd += w
-                total = max(1, size["all"])
-                content = max(1, page.content.total())
+                total, content = max(1, size["all"]), max(1, n_content)
                 rows.append((
-                    doc, page.n_words, cost / total, odd / total, page.n_again / content, size["link"] / total, size["tag"] / total,
-                    size["price"] / total, size["contents"] / total, len(page.content) / content, page.n_frame / max(1, page.n_words),
+                    doc, n_words, cost / total, not inner[0] <= cost / total <= inner[1], odd / total, n_again / content, size["link"] / total, size["tag"] / total,
+                    size["price"] / total, size["contents"] / total, n_distinct / content, n_frame / max(1, n_words),
                 ))
             names = [x.split()[0] for x in _SCORE.split(", ")]
-            types = [pa.int64(), pa.int32(), *[pa.float64()] * 9]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 11, types, strict=True)], names=names)
+            types = [pa.int64(), pa.int32(), pa.float64(), pa.bool_(), *[pa.float64()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 12, types, strict=True)], names=names)
 
     return score
 
 
 def page_scores(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every page: doc_id, words, bits a class under the prose model, and the shares of its text that is abnormal,
+    """Of every page: doc_id, words, bits a class under the prose model and whether that is abnormal for a page, the shares of its text that is abnormal,
     repeated, links, tags, product entries, lines of contents; distinct content words and closed-class words."""
     base = pages.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    model, normal = train(base)
-    return cut(base.mapInArrow(_score(model, normal), _SCORE))
+    parsed = cut(base.mapInArrow(_parsed, _PAGE))
+    model, normal = train(parsed)
+    return parsed.drop("prose").mapInArrow(_score(model, normal), _SCORE)
 
 
 def spam_pages(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +273,7 @@ def spam_pages(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Null texts are left out; empty pages and pages of blanks only are no spam. Pages of any length are read whole. Repeated
     rows get equal results. An empty table gives none. Other columns aren't read."""
     s = page_scores(pages, doc_id, text)
-    stuffed = (F.col("again") >= 0.45) & (F.col("distinct") <= 0.35) & (F.col("abnormal") >= 0.3)
+    stuffed = (F.col("again") >= 0.45) & (F.col("distinct") <= 0.35) & (F.col("page_abnormal") | (F.col("abnormal") >= 0.3))
     listed = (F.col("abnormal") >= 0.4) & ((F.col("links") >= 0.5) | (F.col("tags") >= 0.3) | (F.col("prices") >= 0.5))
     bare = (F.col("abnormal") >= 0.5) & (F.col("frame") < 0.2) & (F.col("contents") < 0.5) & (F.col("distinct") < 0.6)
     return s.withColumn("is_spam", (F.col("n_words") >= 1) & (stuffed | listed | bare))
