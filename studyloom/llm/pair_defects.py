@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ SUBJECT_SHARE = 1e-4
 BUCKETS = 1 << 13
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_QUOTES = regex.compile(r"[“„«\"(\[]")
-_QUOTED = regex.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|\([^()]*\)|\[[^\[\]]*\]")
+_QUOTES = re.compile(r"[“„«\"(\[]")
+_QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|\([^()]*\)|\[[^\[\]]*\]")
 
 # What stands in a field that was left empty.
 PLACEHOLDERS = frozenset("na nil none null nan nul void empty blank missing pending tbd tba todo noanswer noresponse notavailable leer vide vacío пусто placeholder xxx undefined".split())
@@ -57,9 +56,9 @@ _SPEECH = (
     r"answer|respon[ds]|help|assist|comment|say anything|request|topic|question|context|antwort|frage|auskunft|helfen|dazu|répon|question|aider|réponse|responder|"
     r"respuesta|contestar|ayudar|solicitud|pregunta|ответ|вопрос|помочь|просьб|сказать"
 )
-DECLINE = regex.compile("|".join(f"(?:{p})" for p in _DECLINE.values()))
-UNKNOWN = regex.compile("|".join(f"(?:{p})" for p in _UNKNOWN.values()))
-SPEECH = regex.compile(_SPEECH)
+DECLINE = re.compile("|".join(f"(?:{p})" for p in _DECLINE.values()))
+UNKNOWN = re.compile("|".join(f"(?:{p})" for p in _UNKNOWN.values()))
+SPEECH = re.compile(_SPEECH)
 SELF = frozenset(_SELF)
 
 
@@ -148,7 +147,7 @@ LF_NAMES = {
 }
 
 
-_CYRILLIC, _LETTER = regex.compile(r"[Ѐ-ӿ]"), regex.compile(r"\p{L}")
+_CYRILLIC, _LETTER = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[^\W\d_]")
 
 
 def _share_cyrillic(text: str) -> float:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,11 @@ LEAST_LIMIT = 16
 LEAST_VALUES = 30
 
 _ITEM = re.compile(r"https?://\S+|[^\W\d_]+(?:-[^\W\d_]+)*'?|\d+|[^\w\s]")
-_MARK = regex.compile(r"(?:\s*\[\s*(?:\.{2,}|…)\s*\]|\s*(?:\.{2,}|…))\s*$")
+_MARK = re.compile(r"(?:\s*\[\s*(?:\.{2,}|…)\s*\]|\s*(?:\.{2,}|…))\s*$")
+_LAST_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*$")
 # Phrases that end a list on purpose, as far as they stand before a mark of omission or at the end.
 _AND_SO_ON = ("and so on", "and so forth", "et cetera", "etc", "und so weiter", "usw", "et ainsi de suite", "y así sucesivamente", "y demás", "и так далее", "и тому подобное")
-_AND_SO_ON = regex.compile(rf"\b(?:{'|'.join(map(skeleton, _AND_SO_ON))})$")
+_AND_SO_ON = tuple(f" {skeleton(x)}" for x in _AND_SO_ON)
 _FRAME = frozenset(map(skeleton, FRAME))
 _CLOSING = "\"'”’»“„«)]}*_ \n"
 _STOPS = ".!?"
@@ -81,11 +81,11 @@ def contexts(frame: list[str], start: int, end: int) -> list[int]:
 def ending(text: str) -> tuple[str, bool, bool]:
     """A folded text without a mark of omission at its end, whether it had one, and whether it ends with a full stop."""
     body = text.rstrip()
-    bare = _MARK.sub("", body)
+    bare = _MARK.sub("", body) if body[-1:] in ".…]" else body
     marked = bare != body
     core = bare.rstrip(_CLOSING)
     stopped = bool(core) and core[-1] in _STOPS
-    return bare, marked, stopped or bool(_AND_SO_ON.search(core[-40:]))
+    return bare, marked, stopped or core.endswith(_AND_SO_ON)
 
 
 def _sentences(frame: list[str]) -> Iterator[tuple[int, int, bool]]:
@@ -101,7 +101,7 @@ def _sentences(frame: list[str]) -> Iterator[tuple[int, int, bool]]:
 
 
 def _partial_word(text: str) -> str:
-    m = regex.search(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*$", text)
+    m = _LAST_WORD.search(text[-100:]) if text[-1:].isalpha() else None
     return m.group() if m else ""
 
 
