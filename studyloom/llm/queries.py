@@ -12,6 +12,7 @@ from studyloom.llm import pair_defects as p5
 from studyloom.llm import prose as p8
 from studyloom.llm import repeated_lines as p2
 from studyloom.llm import truncation as p4
+from studyloom.llm.oracles import ORACLES as _ORACLES
 from studyloom.plans.lineage import cut
 
 
@@ -115,4 +116,4 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = dict(_ORACLES)
