@@ -248,9 +248,9 @@ class LabelModel:
         self.prevalence = prevalence
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
-        n = patterns.shape[1] if len(patterns) else 0
+        n = patterns.shape[1]
         self.table = np.repeat(self.START[:, None, :], n, axis=1)
-        hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float) if len(patterns) else np.zeros((0, n, 3))
+        hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
         for _ in range(rounds):
             p = self.posterior(patterns)
             fresh = np.empty_like(self.table)
@@ -276,7 +276,7 @@ def best_cutoff(posterior: np.ndarray, counts: np.ndarray) -> float:
     """The cutoff with the highest expected F1 on the given (held-out) patterns, between 0.2 and 0.8; 0.5 without any."""
     best, at = -1.0, 0.5
     total = (posterior * counts).sum()
-    for c in np.arange(0.2, 0.801, 0.05):
+    for c in np.arange(20, 81, 5) / 100:
         kept = posterior >= c
         f1 = 2 * (posterior * counts)[kept].sum() / max(1e-9, counts[kept].sum() + total)
         if f1 > best + 1e-9 or abs(f1 - best) <= 1e-9 and abs(c - 0.5) < abs(at - 0.5):

@@ -85,7 +85,7 @@ def ending(text: str) -> tuple[str, bool, bool]:
     marked = bare != body
     core = bare.rstrip(_CLOSING)
     stopped = bool(core) and core[-1] in _STOPS
-    return bare, marked, stopped or core.endswith(_AND_SO_ON)
+    return bare, marked, stopped or f" {core}".endswith(_AND_SO_ON)
 
 
 def _sentences(frame: list[str]) -> Iterator[tuple[int, int, bool]]:
