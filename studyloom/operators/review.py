@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +9,15 @@ from studyloom.plans.ordered_fold import ordered_fold
 
 #: (repetitions, interval in days, ease) before the first review, and the least ease.
 FRESH, LEAST_EASE = (0, 0, 2.5), 1.3
+#: Microseconds of ten minutes and of a day; what a timestamp and an interval column can hold.
+TEN_MINUTES, DAY, LAST, MOST_DAYS = 600_000_000, 86_400_000_000, (1 << 63) - 1, (1 << 31) - 1
 
 
-def advance(repetitions: int, interval: int, ease: float, rating: str, at: datetime) -> tuple[int, int, float, datetime]:
-    """The state after one rating: repetitions, interval, ease, due time. Rounding is half to even."""
+def advance(repetitions: int, interval: int, ease: float, rating: str, at: int) -> tuple[int, int, float, int | None]:
+    """The state after one rating at a time in microseconds: repetitions, interval, ease, due time (None beyond the range of
+    timestamps, as intervals multiply without end). Rounding is half to even."""
     if rating == "again":
-        return 0, 0, max(LEAST_EASE, ease - 0.2), at + timedelta(minutes=10)
+        return 0, 0, max(LEAST_EASE, ease - 0.2), at + TEN_MINUTES
     if rating == "hard":
         days, lifted = (max(1, round(interval * 1.2)) if interval else 1), max(LEAST_EASE, ease - 0.15)
     elif rating == "good":
@@ -25,19 +26,22 @@ def advance(repetitions: int, interval: int, ease: float, rating: str, at: datet
         days, lifted = (max(4, round(interval * ease * 1.3)) if interval else 4), ease + 0.15
     else:
         raise ValueError(f"unknown rating {rating!r}")
-    return repetitions + 1, days, lifted, at + timedelta(days=days)
+    days = min(days, MOST_DAYS)
+    due = at + days * DAY
+    return repetitions + 1, days, lifted, due if due <= LAST else None
 
 
 def review_fold(attempts: DataFrame, keys: list[str], at: str, rating: str, tie: str) -> DataFrame:
     """The attempts with repetition_count, interval_days, ease_factor and due_at after each, in order of time (ties by `tie`).
 
-    Rows of null time or null or unknown rating are left out: they are no reviews."""
-    known = attempts.filter(F.col(at).isNotNull() & F.col(rating).isin("again", "hard", "good", "easy"))
+    Rows of null time or null or unknown rating are left out: they are no reviews. due_at is null beyond the timestamp range."""
+    known = attempts.filter(F.col(at).isNotNull() & F.col(rating).isin("again", "hard", "good", "easy")).withColumn("_at", F.unix_micros(at))
 
     def step(state: tuple | None, row: tuple) -> tuple:
         return advance(*(state[:3] if state else FRESH), row[0], row[1])
 
-    return ordered_fold(known, keys, [at, tie], step, [rating, at], "repetition_count int, interval_days int, ease_factor double, due_at timestamp")
+    out = ordered_fold(known, keys, [at, tie], step, [rating, "_at"], "repetition_count int, interval_days int, ease_factor double, _due bigint")
+    return out.withColumn("due_at", F.timestamp_micros("_due")).drop("_at", "_due")
 
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

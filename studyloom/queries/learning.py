@@ -70,12 +70,12 @@ def review_history(spark: SparkSession, at: str) -> DataFrame:
 
 
 def review_states(spark: SparkSession, at: str) -> DataFrame:
-    return _folded(spark, at).select("id", "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.date_format("due_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("due"))
+    return _folded(spark, at).select("id", "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.unix_micros("due_at").alias("due_us"))
 
 
 def review_final(spark: SparkSession, at: str) -> DataFrame:
     last = latest(_folded(spark, at), QUESTION, "answered_at", "id")
-    return last.select(*QUESTION, "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.date_format("due_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("due"))
+    return last.select(*QUESTION, "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.unix_micros("due_at").alias("due_us"))
 
 
 def _bank_questions(spark: SparkSession, at: str) -> DataFrame:
@@ -272,12 +272,13 @@ _FOLD = f"""with recursive {_ATT},
       case g when 'again' then 2.5::double - 0.2::double when 'hard' then 2.5::double - 0.15::double when 'easy' then 2.5::double + 0.15::double else 2.5::double end as e, ts, g from ev where n = 1
     union all
     select ev.id, ev.document_id, ev.question_bank_identity_fingerprint, ev.question_number, ev.n, case ev.g when 'again' then 0 else st.r + 1 end,
-      case ev.g when 'again' then 0 when 'hard' then case when st.i = 0 then 1 else greatest(1, round_even(st.i * 1.2::double, 0)::int) end
-        when 'good' then case st.r when 0 then 1 when 1 then 6 else greatest(1, round_even(st.i * st.e, 0)::int) end
-        else case when st.i = 0 then 4 else greatest(4, round_even(st.i * st.e * 1.3::double, 0)::int) end end,
+      case ev.g when 'again' then 0 when 'hard' then case when st.i = 0 then 1 else greatest(1, least(2147483647::double, round_even(st.i * 1.2::double, 0))::int) end
+        when 'good' then case st.r when 0 then 1 when 1 then 6 else greatest(1, least(2147483647::double, round_even(st.i * st.e, 0))::int) end
+        else case when st.i = 0 then 4 else greatest(4, least(2147483647::double, round_even(st.i * st.e * 1.3::double, 0))::int) end end,
       case ev.g when 'again' then greatest(1.3::double, st.e - 0.2::double) when 'hard' then greatest(1.3::double, st.e - 0.15::double) when 'easy' then st.e + 0.15::double else st.e end, ev.ts, ev.g
     from st join ev on ev.document_id = st.document_id and ev.question_bank_identity_fingerprint = st.question_bank_identity_fingerprint and ev.question_number = st.question_number and ev.n = st.n + 1),
-  f as (select *, case g when 'again' then ts + interval 10 minute else ts + to_days(i::int) end as due_at from st)
+  d as (select *, case g when 'again' then epoch_us(ts)::hugeint + 600000000 else epoch_us(ts)::hugeint + i::hugeint * 86400000000 end as due from st),
+  f as (select *, case when due <= 9223372036854775807 then due::bigint end as due_us from d)
 """
 _PROG = f"p as (select * from question_progress qualify row_number() over (partition by {_Q} order by created_at desc, due_at desc, repetition_count desc) = 1)"
 _BQ = "bq as (select distinct document_id, identity_fingerprint as question_bank_identity_fingerprint, unnest(list_transform(questions, lambda q: q.number)) as question_number from question_banks)"
@@ -298,8 +299,8 @@ ORACLES = {
       select label, count(*) as n_vectors, count(*) filter (e is null or len(e) = 0) as n_empty, count(*) filter (norm = 0) as n_zero, count(*) filter (len(e) <> usual) as n_other_dimension, count(*) filter (abs(norm - 1) < 1e-4) as n_unit from v, u group by 1""",
     "vec_join_metadata": _TOP.format(where="") + "select query_id, label, count(*) as n_hits, max(score) as best_score, min(rank) as best_rank from t group by 1, 2",
     "review_history": f"with {_ATT} select id, {_Q}, (row_number() over (partition by {_Q} order by answered_at, id))::int as attempt_number, {_STAMP.format(c='answered_at')} as answered from a",
-    "review_states": f"{_FOLD} select id, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, {_STAMP.format(c='due_at')} as due from f",
-    "review_final": f"{_FOLD} select {_Q}, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, {_STAMP.format(c='due_at')} as due from f qualify row_number() over (partition by {_Q} order by n desc) = 1",
+    "review_states": f"{_FOLD} select id, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, due_us from f",
+    "review_final": f"{_FOLD} select {_Q}, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, due_us from f qualify row_number() over (partition by {_Q} order by n desc) = 1",
     "review_due": f"""with {_PROG}, {_BQ}, d as (select bq.*, p.due_at from bq left join p using ({_Q}) where p.due_at is null or p.due_at <= {_AS_OF})
       select {_Q}, (row_number() over (partition by document_id, question_bank_identity_fingerprint order by due_at is null, due_at, question_number))::int as place, {_STAMP.format(c='due_at')} as due from d qualify place <= 10""",
     "progress_by_bank": f"""with {_ATT}, {_PROG}, {_BQ},

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,9 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from studyloom.operators.review import FRESH, advance
 
-_OUT = "question_key string, repetition_count int, interval_days int, ease_factor double, due_at timestamp, last_reviewed_at timestamp, n_rejected bigint"
+_OUT = "question_key string, repetition_count int, interval_days int, ease_factor double, due_us bigint, last_us bigint, n_rejected bigint"
 _STATE = "repetition_count int, interval_days int, ease_factor double, last_us bigint, n_rejected bigint"
-_EPOCH = datetime(1970, 1, 1)
 
 
 def review_states(attempts: DataFrame) -> DataFrame:
@@ -27,19 +25,18 @@ def review_states(attempts: DataFrame) -> DataFrame:
         rows = pd.concat(list(pdfs)).sort_values(["answered_at", "id"])
         due = None
         for rating, at in zip(rows["rating"], rows["answered_at"], strict=True):
-            at = at.to_pydatetime().replace(tzinfo=None)
-            us = round((at - _EPOCH).total_seconds() * 1e6)
+            us = at.value // 1000
             if last is not None and us < last:
                 rejected += 1
                 continue
-            reps, days, ease, due = advance(reps, days, ease, rating, at)
+            reps, days, ease, due = advance(reps, days, ease, rating, us)
             last = us
         state.update((reps, days, ease, last, rejected))
-        at = pd.Timestamp(last, unit="us") if last is not None else pd.NaT
-        yield pd.DataFrame({"question_key": [key[0]], "repetition_count": [reps], "interval_days": [days], "ease_factor": [ease], "due_at": [pd.Timestamp(due) if due else pd.NaT], "last_reviewed_at": [at], "n_rejected": [rejected]})
+        yield pd.DataFrame({"question_key": [key[0]], "repetition_count": [reps], "interval_days": [days], "ease_factor": [ease], "due_us": pd.array([due], "Int64"), "last_us": pd.array([last], "Int64"), "n_rejected": [rejected]})
 
     known = attempts.filter(F.col("answered_at").isNotNull() & F.col("rating").isin("again", "hard", "good", "easy"))
-    return known.groupBy("question_key").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    out = known.groupBy("question_key").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return out.select("question_key", "repetition_count", "interval_days", "ease_factor", F.timestamp_micros("due_us").alias("due_at"), F.timestamp_micros("last_us").alias("last_reviewed_at"), "n_rejected")
 
 
 def attempts_by_hour(attempts: DataFrame, delay: str = "2 hours") -> DataFrame:

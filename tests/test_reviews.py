@@ -9,6 +9,7 @@ from studyloom.operators.review import advance, due, latest, review_fold
 from studyloom.streaming.reviews import attempts_by_hour, review_states
 
 T0 = datetime(2024, 1, 1, 12)
+US = lambda t: round((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
 
 
 @pytest.mark.parametrize(
@@ -20,10 +21,10 @@ T0 = datetime(2024, 1, 1, 12)
     ],
 )
 def test_transitions(state, rating, expected):
-    reps, days, ease, at = advance(*state, rating, T0)
-    assert (reps, days, round(ease, 9), at) == (*expected[:3], T0 + expected[3])
+    reps, days, ease, at = advance(*state, rating, US(T0))
+    assert (reps, days, round(ease, 9), at) == (*expected[:3], US(T0 + expected[3]))
     with pytest.raises(ValueError):
-        advance(*state, "unsure", T0)
+        advance(*state, "unsure", 0)
 
 
 def log(n=400):
@@ -35,7 +36,7 @@ def log(n=400):
 def by_hand(rows):
     out = {}
     for i, q, g, at in sorted((x for x in rows if x[2] in ("again", "hard", "good", "easy") and x[3]), key=lambda x: (x[1], x[3], x[0])):
-        out[q] = (advance(*(out[q][0][:3] if q in out else (0, 0, 2.5)), g, at), at, i)
+        out[q] = (advance(*(out[q][0][:3] if q in out else (0, 0, 2.5)), g, US(at)), at, i)
     return out
 
 
@@ -44,10 +45,17 @@ def test_fold_and_latest(spark):
     df = spark.createDataFrame(rows, "id int, question_key string, rating string, answered_at timestamp")
     last = latest(review_fold(df, ["question_key"], "answered_at", "rating", "id"), ["question_key"], "answered_at", "id").collect()
     want = by_hand(rows)
-    assert {r.question_key: (r.repetition_count, r.interval_days, round(r.ease_factor, 9), r.due_at) for r in last} == {q: (s[0], s[1], round(s[2], 9), s[3]) for q, (s, _, _) in want.items()}
+    assert {r.question_key: (r.repetition_count, r.interval_days, round(r.ease_factor, 9), r.due_at) for r in last} == {q: (s[0], s[1], round(s[2], 9), datetime(1970, 1, 1) + timedelta(microseconds=s[3])) for q, (s, _, _) in want.items()}
     assert review_fold(df.limit(0), ["question_key"], "answered_at", "rating", "id").count() == 0
 
 
+def test_intervals_without_end():
+    state = (0, 0, 2.5)
+    for _ in range(60):
+        *state, due_at = advance(*state, "easy", 0)
+    assert due_at is None and state[1] == (1 << 31) - 1
+
+
 def test_due_is_inclusive_and_takes_new_questions(spark):
     q = spark.createDataFrame([(1,), (2,), (3,), (4,)], "n int")
     p = spark.createDataFrame([(1, T0), (2, T0 + timedelta(seconds=1)), (4, T0 - timedelta(days=1))], "n int, due_at timestamp")
