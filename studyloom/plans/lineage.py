@@ -45,3 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     """A broadcast hint where rows (counted by the caller) times the row width stay below the limit, else df itself."""
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_LIMIT else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than the cluster has cores (a small table in one file); as it is
+    otherwise. For stages that spend far more on a row than moving it costs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

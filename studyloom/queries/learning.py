@@ -70,12 +70,12 @@ def review_history(spark: SparkSession, at: str) -> DataFrame:
 
 
 def review_states(spark: SparkSession, at: str) -> DataFrame:
-    return _folded(spark, at).select("id", "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.unix_micros("due_at").alias("due_us"))
+    return _folded(spark, at).select("id", "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.coalesce(F.unix_micros("due_at").cast("string"), F.lit("beyond")).alias("due_us"))
 
 
 def review_final(spark: SparkSession, at: str) -> DataFrame:
     last = latest(_folded(spark, at), QUESTION, "answered_at", "id")
-    return last.select(*QUESTION, "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.unix_micros("due_at").alias("due_us"))
+    return last.select(*QUESTION, "repetition_count", "interval_days", F.round("ease_factor", 6).alias("ease_factor"), F.coalesce(F.unix_micros("due_at").cast("string"), F.lit("beyond")).alias("due_us"))
 
 
 def _bank_questions(spark: SparkSession, at: str) -> DataFrame:
@@ -299,8 +299,8 @@ ORACLES = {
       select label, count(*) as n_vectors, count(*) filter (e is null or len(e) = 0) as n_empty, count(*) filter (norm = 0) as n_zero, count(*) filter (len(e) <> usual) as n_other_dimension, count(*) filter (abs(norm - 1) < 1e-4) as n_unit from v, u group by 1""",
     "vec_join_metadata": _TOP.format(where="") + "select query_id, label, count(*) as n_hits, max(score) as best_score, min(rank) as best_rank from t group by 1, 2",
     "review_history": f"with {_ATT} select id, {_Q}, (row_number() over (partition by {_Q} order by answered_at, id))::int as attempt_number, {_STAMP.format(c='answered_at')} as answered from a",
-    "review_states": f"{_FOLD} select id, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, due_us from f",
-    "review_final": f"{_FOLD} select {_Q}, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, due_us from f qualify row_number() over (partition by {_Q} order by n desc) = 1",
+    "review_states": f"{_FOLD} select id, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, coalesce(due_us::varchar, 'beyond') as due_us from f",
+    "review_final": f"{_FOLD} select {_Q}, r::int as repetition_count, i::int as interval_days, round(e, 6) as ease_factor, coalesce(due_us::varchar, 'beyond') as due_us from f qualify row_number() over (partition by {_Q} order by n desc) = 1",
     "review_due": f"""with {_PROG}, {_BQ}, d as (select bq.*, p.due_at from bq left join p using ({_Q}) where p.due_at is null or p.due_at <= {_AS_OF})
       select {_Q}, (row_number() over (partition by document_id, question_bank_identity_fingerprint order by due_at is null, due_at, question_number))::int as place, {_STAMP.format(c='due_at')} as due from d qualify place <= 10""",
     "progress_by_bank": f"""with {_ATT}, {_PROG}, {_BQ},
