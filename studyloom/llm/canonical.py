@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyloom.llm.lookalikes import SCRIPTS, UNPLAIN, VARIANTS, plainer, script_of, skeleton, spell
-from studyloom.plans.lineage import cut
+from studyloom.plans.lineage import cut, spread
 
 #: Vocabulary words of one trie.
 WORDS_A_TRIE = 50_000
@@ -189,7 +189,7 @@ def _forms(scan: DataFrame) -> DataFrame:
 
 def _scanned(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     base = texts.filter(F.col(text).isNotNull()).select(F.col(id_col).cast("bigint").alias("text_id"), F.col(text).alias("text"))
-    return cut(base.mapInArrow(_scan, _SCAN))
+    return cut(spread(base).mapInArrow(_scan, _SCAN))
 
 
 def canonical(texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from studyloom.llm.lookalikes import UNPLAIN, plainer
 from studyloom.llm.truncation import endings
 from studyloom.llm.wordlists import LANGUAGES, WORD_SETS
-from studyloom.plans.lineage import cut
+from studyloom.plans.lineage import cut, spread
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 #: Words in at least this share of the questions are the subject's words: at most words-a-question / share of them.
@@ -292,7 +292,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     Texts are read whole. Repeated pairs get equal results; an empty table gives none. Other columns aren't read."""
     pairs = cut(pairs.select("row", "question", "answer"))
     languages, subject = learn(pairs.filter(F.col("question").isNotNull()).select(F.col("question").alias("text")).distinct())
-    voted = pairs.mapInArrow(_voting(languages, subject), _VOTES)
+    voted = spread(pairs).mapInArrow(_voting(languages, subject), _VOTES)
     ends = endings(pairs.select("row", F.col("answer").alias("text")))
     odds = F.col("goes_on") * F.col("word_odds")
     live = (F.col("bare_chars") > 0) & F.col("open")

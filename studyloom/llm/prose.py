@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.canonical import compose
 from studyloom.llm.wordlists import FRAME
-from studyloom.plans.lineage import cut
+from studyloom.plans.lineage import cut, spread
 
 #: A word is 'again' if it is among so many words before it.
 RECENT = 12
@@ -262,7 +262,7 @@ def page_scores(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Of every page: doc_id, words, bits a class under the prose model and whether that is abnormal for a page, the shares of its text that is abnormal,
     repeated, links, tags, product entries, lines of contents; distinct content words and closed-class words."""
     base = pages.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    parsed = cut(base.mapInArrow(_parsed, _PAGE))
+    parsed = cut(spread(base).mapInArrow(_parsed, _PAGE))
     model, normal = train(parsed)
     return parsed.drop("prose").mapInArrow(_score(model, normal), _SCORE)
 

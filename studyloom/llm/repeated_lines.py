@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from studyloom.functions.text import uuid_key
 from studyloom.llm.canonical import two_hashes
 from studyloom.llm.lookalikes import CAPITAL_ONLY, skeleton
-from studyloom.plans.lineage import broadcast_if_small, cut
+from studyloom.plans.lineage import broadcast_if_small, cut, spread
 
 #: A line standing in fewer rows than this keeps arrays of bits, a more frequent one bitmaps.
 DENSE_ROWS = 4096
@@ -59,7 +59,7 @@ def _explode_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def lines_of(chunks: DataFrame, chunk_id: str, document_id: str, source: str, text: str) -> DataFrame:
     """Every line that isn't empty: chunk_id, source, doc, line_no, a and b (128 bits of its key)."""
     rows = chunks.filter(F.col(text).isNotNull()).select(F.col(chunk_id).cast("bigint"), F.col(source), uuid_key(document_id), F.col(text))
-    return rows.mapInArrow(_explode_lines, _LINES)
+    return spread(rows).mapInArrow(_explode_lines, _LINES)
 
 
 def repeated_lines(

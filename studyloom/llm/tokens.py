@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.plans.lineage import spread
+
 #: A byte-level BPE vocabulary for many languages as ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How text is cut before the merges: letters, numbers, other signs, each with one blank before, then white space.
@@ -49,4 +51,4 @@ def token_counts(docs: DataFrame, text: str, *keep: str, vocabulary: str = VOCAB
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*keep, "n_tokens"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(count, f"{fields}, n_tokens int")
+    return spread(rows).mapInArrow(count, f"{fields}, n_tokens int")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.lookalikes import skeleton
 from studyloom.llm.wordlists import FRAME
-from studyloom.plans.lineage import cut
+from studyloom.plans.lineage import cut, spread
 
 #: A context must have been passed so often to be trusted; shorter ones step in.
 TRUSTED = 8
@@ -151,7 +151,7 @@ def endings(values: DataFrame) -> DataFrame:
     on after its last item, from what leads up to it), word_odds (how much likelier the last word is that of a cut text).
 
     Null texts are left out. Texts without any item have odds of 1 and bare_chars 0."""
-    scan = cut(values.filter(F.col("text").isNotNull()).select("row", "text").mapInArrow(_scan, _SCAN))
+    scan = cut(spread(values.filter(F.col("text").isNotNull()).select("row", "text")).mapInArrow(_scan, _SCAN))
     stats = scan.filter("kind = 'ctx'").groupBy(F.col("ctx")[0].alias("ctx"), "level").agg(*(F.sum(c).alias(c) for c in ("passed", "chars", "stopped", "opened")))
     stats = cut(stats)
     tails = scan.filter("kind = 'tail'").select("row", "n_chars", "bare_chars", "marked", "open", "word", "ctx", F.col("level").alias("alone"))
