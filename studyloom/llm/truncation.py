@@ -23,8 +23,8 @@ from studyloom.plans.lineage import cut, spread
 
 #: A context must have been passed so often to be trusted; shorter ones step in.
 TRUSTED = 8
-#: Share of contexts with ways of ending of their own, inside a text and for a value of a single fragment.
-OWN, OWN_ALONE = 0.001, 0.05
+#: Share of contexts with ways of ending of their own: inside a text, for a value of a single phrase, on a closed-class word.
+OWN, OWN_ALONE, OWN_FRAME = 0.001, 0.05, 1e-7
 #: Items that a phrase has at most, the last of them a word that is not closed-class.
 PHRASE = 8
 #: Field limits below this are not looked for: short values are whole phrases.
@@ -40,7 +40,7 @@ _AND_SO_ON = ("and so on", "and so forth", "et cetera", "etc", "und so weiter",
 _AND_SO_ON = tuple(f" {skeleton(x)}" for x in _AND_SO_ON)
 _FRAME = frozenset(map(skeleton, FRAME))
 _CLOSING = "\"'”’»“„«)]}*_ \n"
-_STOPS = ".!?"
+_STOPS, _ENDS = ".!?", ".!?;"
 
 
 def items(text: str) -> tuple[list[str], list[str], list[int]]:
@@ -72,7 +72,7 @@ def items(text: str) -> tuple[list[str], list[str], list[int]]:
 
 def contexts(frame: list[str], start: int, end: int) -> list[int]:
     """Hashes of what leads up to item end: the whole sentence from start, the last four, two and one items."""
-    where = "V" if start == 0 else "S"
+    where = "V" if start == 0 else "L" if frame[start - 1] == ";" else "S"
     whole = frame[start:end]
     tails = [whole[-n:] if len(whole) >= n else [where, *whole] for n in (4, 2, 1)]
     return [xxhash.xxh64_intdigest(f"{k} {' '.join(x)}") - (1 << 63) for k, x in enumerate([[where, *whole], *tails])]
@@ -89,10 +89,10 @@ def ending(text: str) -> tuple[str, bool, bool]:
 
 
 def _sentences(frame: list[str]) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, stopped) of each sentence; end excludes the stop."""
+    """(start, end, stopped) of each sentence or list item; end excludes the stop or semicolon."""
     start = 0
     for i, x in enumerate(frame):
-        if x in _STOPS:
+        if x in _ENDS:
             if i > start:
                 yield start, i, True
             start = i + 1
@@ -100,6 +100,13 @@ def _sentences(frame: list[str]) -> Iterator[tuple[int, int, bool]]:
         yield start, len(frame), False
 
 
+def _way(frame: list[str], start: int, end: int) -> int:
+    """1 for a value that is one short phrase, -1 for an end on a closed-class word, else 0."""
+    if not frame or frame[-1] not in _FRAME:
+        return int(start == 0 and end <= PHRASE and frame[-1:] == ["X"])
+    return -1
+
+
 def _partial_word(text: str) -> str:
     m = _LAST_WORD.search(text[-100:]) if text[-1:].isalpha() else None
     return m.group() if m else ""
@@ -120,7 +127,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(seen[:-1])
             start, end = 0, len(frame)
             for start, end, stop in _sentences(frame):
-                key = (start == 0, stop or done, *frame[start:end])
+                key = ("" if start == 0 else ";" if frame[start - 1] == ";" else ".", stop or done, *frame[start:end])
                 if key in frames:
                     have = frames[key]
                     have[0] += 1
@@ -130,12 +137,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     frames[key] = [1, *width[start:end]]
             n_bare = len(_MARK.sub("", raw.rstrip())) if any(map(str.isalnum, bare)) else 0
             tail = ("", []) if done else (_partial_word(bare), contexts(frame, start, end))
-            rows.append(("tail", row, len(raw), n_bare, marked, not done, *tail, int(start == 0 and end <= PHRASE and frame[-1:] == ["X"]), None, None, None, None))
+            rows.append(("tail", row, len(raw), n_bare, marked, not done, *tail, _way(frame, start, end), None, None, None, None))
         counts: dict[int, list[int]] = {}
         for (first, stop, *frame), (n, *width) in frames.items():
-            pad = 0 if first else 1
+            pad = 1 if first else 0
             for i in range(1, len(frame) + 1):
-                for level, c in enumerate(contexts(["."] * pad + frame, pad, pad + i)):
+                for level, c in enumerate(contexts([first] * pad + frame, pad, pad + i)):
                     have = counts.setdefault(c, [level, 0, 0, 0, 0])
                     have[1] += n
                     have[2] += width[i - 1]
@@ -176,7 +183,7 @@ def endings(values: DataFrame) -> DataFrame:
     # cuts and lost stops explains; a value of one fragment is such a phrase more often
     n, e = F.greatest(F.col("opened").cast("double"), F.lit(1.0)), F.greatest(cuts + stops, F.lit(1e-4))
     chance = n * F.log(e) - e - (n * F.log(n) - n + F.log(2 * math.pi * n) / 2)
-    own = F.log(F.when(F.col("alone") == 1, OWN_ALONE).otherwise(OWN)) - F.log(n + 1) - chance
+    own = F.log(F.when(F.col("alone") == 1, OWN_ALONE).when(F.col("alone") == -1, OWN_FRAME).otherwise(OWN)) - F.log(n + 1) - chance
     p_own = 1 / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), -own))))
     is_cut = (1 - p_own) * cuts / (cuts + stops + 1e-9) + p_own * F.least(F.lit(1.0), cuts / n)
     is_cut = F.least(F.lit(0.999), F.greatest(F.lit(0.001), is_cut))
