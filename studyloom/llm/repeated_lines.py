@@ -85,8 +85,9 @@ def repeated_lines(
     may = broadcast_if_small(may, may.count(), 200).alias("m")
 
     hits = lines.alias("l").join(may, [F.col("l.a") == F.col("m.a"), F.col("l.b") == F.col("m.b"), *same("l", "m", "source")]).select("l.*", "m.n", "m.n_docs")
-    hits = cut(hits.alias("h").join(docs.alias("d"), [F.col("h.doc") == F.col("d.doc"), *same("h", "d", "source")], "left").select("h.*", "d.bit"))
-    counted = hits.filter(F.col("bit").isNotNull()).withColumns({"bucket": F.floor(F.col("bit") / BITS), "at": F.col("bit") % BITS})
+    hits = cut(hits)
+    numbered = hits.filter(F.col("doc").isNotNull()).alias("h").join(docs.alias("d"), [F.col("h.doc") == F.col("d.doc"), *same("h", "d", "source")]).select("h.*", "d.bit")
+    counted = cut(numbered).withColumns({"bucket": F.floor(F.col("bit") / BITS), "at": F.col("bit") % BITS})
     key = ["source", "a", "b", "n_docs", "bucket"]
     rare = counted.filter(F.col("n") < DENSE_ROWS).groupBy(*key).agg(F.array_sort(F.collect_set("at")).alias("bits"))
     rare = rare.select(*key, F.size("bits").cast("bigint").alias("card"), "bits", F.lit(None).cast("binary").alias("bitmap"))
@@ -107,7 +108,7 @@ def repeated_lines(
     byte = F.conv(F.hex(F.expr("substring(k.bitmap, cast(h.at div 8 + 1 as int), 1)")), 16, 10).cast("int")
     is_set = F.when(F.col("k.bitmap").isNull(), F.array_contains("k.bits", F.col("h.at"))).otherwise(byte.bitwiseAND(F.expr("shiftleft(1, cast(h.at % 8 as int))")) > 0)
     deleted = own.filter(is_set).select("h.chunk_id", "h.line_no")
-    free = hits.filter(F.col("bit").isNull()).alias("h").join(broadcast_if_small(bad, n_bad, 200).alias("x"), [F.col("h.a") == F.col("x.a"), F.col("h.b") == F.col("x.b"), *same("h", "x", "source")], "left_semi")
+    free = hits.filter(F.col("doc").isNull()).alias("h").join(broadcast_if_small(bad, n_bad, 200).alias("x"), [F.col("h.a") == F.col("x.a"), F.col("h.b") == F.col("x.b"), *same("h", "x", "source")], "left_semi")
     return deleted.unionByName(free.select("chunk_id", "line_no"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.lookalikes import skeleton
 from studyloom.llm.wordlists import FRAME
-from studyloom.plans.lineage import cut, spread
+from studyloom.plans.lineage import broadcast_if_small, cut, spread
 
 #: A context must have been passed so often to be trusted; shorter ones step in.
 TRUSTED = 8
@@ -172,6 +172,7 @@ def endings(values: DataFrame) -> DataFrame:
     a_word = words.agg((F.sum(F.col("n") * (F.length("word") + 1)) / F.sum("n")).alias("chars")).first()["chars"] or 1.0
     odds = ((F.coalesce("longer", F.lit(0)) + 2 * F.coalesce("n", F.lit(0)) + 1) / F.lit(float(a_word))) / (F.coalesce("n", F.lit(0)) + 0.5)
     word_odds = asked.join(words, "word", "left").join(longer, "word", "left").select("word", odds.alias("word_odds"))
+    worded = tails.filter(F.col("word") != "").select("row", "word").join(word_odds, "word").select("row", "word_odds")
 
     # --- what leads up to the end: the longest trusted context
     each = tails.filter(F.col("open") & (F.size("ctx") > 0)).select("row", "alone", F.posexplode("ctx").alias("level", "ctx"))
@@ -188,7 +189,7 @@ def endings(values: DataFrame) -> DataFrame:
     is_cut = (1 - p_own) * cuts / (cuts + stops + 1e-9) + p_own * F.least(F.lit(1.0), cuts / n)
     is_cut = F.least(F.lit(0.999), F.greatest(F.lit(0.001), is_cut))
     scored = best.select("row", (is_cut / (1 - is_cut)).alias("goes_on"))
-    out = tails.join(word_odds, "word", "left").join(scored, "row", "left")
+    out = tails.join(worded, "row", "left").join(scored, "row", "left")
     one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
     return out.select("row", "n_chars", "bare_chars", "marked", "open", one("word_odds"), one("goes_on"))
 
@@ -277,7 +278,8 @@ def truncated(values: DataFrame, cutoff: float = 0.5) -> DataFrame:
     lens = base.select("field_name", "source", "record_key", "row").join(ends, "row", "left")
     histogram = lens.filter(F.col("n_chars") > 0).select("field_name", "source", F.explode(F.array_distinct(F.array("n_chars", "bare_chars"))).alias("length"))
     limits = cut(histogram.groupBy("field_name", "source", "length").agg(F.count("*").alias("n")).groupBy("field_name", "source").applyInArrow(_censoring, "field_name string, source string, length int, censored double"))
-    v, a, b = lens.alias("v"), limits.alias("a"), limits.alias("b")
+    few = broadcast_if_small(limits, limits.count(), 200)
+    v, a, b = lens.alias("v"), few.alias("a"), few.alias("b")
     at = lambda side, col: (F.col("v.field_name") == F.col(f"{side}.field_name")) & F.col("v.source").eqNullSafe(F.col(f"{side}.source")) & (F.col(f"v.{col}") == F.col(f"{side}.length"))
     both = v.join(a, at("a", "n_chars"), "left").join(b, at("b", "bare_chars"), "left")
     cens = F.coalesce(F.greatest("a.censored", "b.censored"), F.lit(0.0))
