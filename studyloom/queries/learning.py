@@ -101,8 +101,9 @@ def progress_by_bank(spark: SparkSession, at: str) -> DataFrame:
 
 
 def concepts_missed(spark: SparkSession, at: str) -> DataFrame:
-    out = difficult_concepts(_attempts(spark, at))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_missing"), "folded", "concept"))).select("place", "concept", "n_missing")
+    """The hundred concepts named most often."""
+    top = difficult_concepts(_attempts(spark, at)).orderBy(F.desc("n_missing"), "folded", "concept").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_missing"), "folded", "concept"))).select("place", "concept", "n_missing")
 
 
 # ---- citations
@@ -150,7 +151,7 @@ def eval_concepts(spark: SparkSession, at: str) -> DataFrame:
 
 def citation_coverage(spark: SparkSession, at: str) -> DataFrame:
     """Per question: whether its pages are among those its document's summaries cite, and whether its numbers are unique."""
-    known = _summaries(spark, at).groupBy("document").agg(F.array_distinct(F.flatten(F.collect_set("citations.chunk_index"))).alias("known"))
+    known = exploded(_summaries(spark, at), ["document"]).groupBy("document").agg(F.collect_set("chunk_index").alias("known"))
     q = _banks(spark, at).select("document", "document_id", "identity_fingerprint", F.explode("questions").alias("q")).select("document", "document_id", "identity_fingerprint", F.col("q.number").alias("number"), F.col("q.citations.chunk_index").alias("used"), F.col("q.citations.number").alias("numbers")).distinct()
     return q.join(known, "document", "left").select(
         "document_id", "identity_fingerprint", "number", F.coalesce(is_subset(F.col("used"), F.col("known")), F.lit(False)).alias("is_covered"), F.coalesce(F.arrays_overlap("used", "known"), F.lit(False)).alias("is_touched"), is_unique(F.col("numbers")).alias("is_unique")
@@ -311,7 +312,7 @@ ORACLES = {
         coalesce(sum(c), 0)::bigint as n_correct, coalesce(sum(u), 0)::bigint as n_unclassified, count(*) filter (due_at is null or due_at <= {_AS_OF}) as n_due, min(coalesce(due_at, {_AS_OF})) as nd, max(l) as ls from j group by 1, 2)
       select document_id, question_bank_identity_fingerprint, n_questions, n_answered, n_attempts, n_incorrect, n_partially_correct, n_correct, n_unclassified, n_due, {_STAMP.format(c='nd')} as next_due_at, {_STAMP.format(c='ls')} as last_studied_at,
         n_answered / n_questions as answered_rate, case when n_attempts = 0 then 0.0 else n_correct / n_attempts end as correct_rate from g""",
-    "concepts_missed": f"with {_ATT}, m as (select unnest(evaluation.missing_concepts) as concept from a), c as (select concept, count(*) as n_missing from m group by 1) select (row_number() over (order by n_missing desc, {_FOLDED.format(c='concept')}, concept))::int as place, concept, n_missing from c",
+    "concepts_missed": f"with {_ATT}, m as (select unnest(evaluation.missing_concepts) as concept from a), c as (select concept, count(*) as n_missing from m group by 1) select (row_number() over (order by n_missing desc, {_FOLDED.format(c='concept')}, concept))::int as place, concept, n_missing from c qualify place <= 100",
     "citation_resolve": f"""with c as (select {_DOC} as document, chunk_index, chunk_id, text from chunks where document_id is not null qualify row_number() over (partition by document, chunk_index order by chunk_id) = 1),
       s as (select summary_id, {_DOC} as document, unnest(citations) as x, generate_subscripts(citations, 1) as place from document_summaries)
       select summary_id, place::int as place, x.number as number, coalesce(chunk_id, -1) as chunk_id, coalesce(starts_with(c.text, x.excerpt), false) as excerpt_matches from s left join c on c.document = s.document and c.chunk_index = x.chunk_index""",
