@@ -26,6 +26,8 @@ from studyloom.plans.lineage import cut, spread
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 #: Words in at least this share of the questions are the subject's words: at most words-a-question / share of them.
 SUBJECT_SHARE = 1e-4
+#: An answer with a smaller share of the subject's words is off the subject, one with a larger share on it.
+LITTLE, MUCH = 0.1, 0.33
 #: Hash buckets of the letter trigrams of the language model: its size is fixed.
 BUCKETS = 1 << 13
 
@@ -56,8 +58,17 @@ _SPEECH = (
     r"answer|respon[ds]|help|assist|comment|say anything|request|topic|question|context|antwort|frage|auskunft|helfen|dazu|répon|question|aider|réponse|responder|"
     r"respuesta|contestar|ayudar|solicitud|pregunta|ответ|вопрос|помочь|просьб|сказать"
 )
-DECLINE = re.compile("|".join(f"(?:{p})" for p in _DECLINE.values()))
-UNKNOWN = re.compile("|".join(f"(?:{p})" for p in _UNKNOWN.values()))
+# No pattern above matches a text without one of these, so that most texts need no search.
+_NEEDED = {
+    "en": "cannot|can not|can't|could not|couldn't|won't|will not|unable|not able|decline|refuse|rather not|possible|not allowed|not permitted|not let|don't let|not in a position|prefer not|know|no idea|no clue|idk|dunno|not sure what|pass|skip this",
+    "de": "nicht|keine|unmöglich|verweiger|lehne|lasse ich aus|tut mir leid|weiß|weiter|passe",
+    "fr": "pas|impossible|désolé|je refuse|je décline|aucune idée|jsp|ignore la",
+    "es": "no p|no m|no e|no s|no q|no d|no lo sé|lo siento|lamentablemente|imposible|prefiero no|me niego|paso|ni idea|no tengo|desconozco",
+    "ru": "не |к сожалению|извините|простите|отказываюсь|пропускаю|невозможно|понятия|нет идей",
+}
+_NEEDED = {lang: tuple(x.split("|")) for lang, x in _NEEDED.items()}
+_DECLINE = {lang: re.compile(p) for lang, p in _DECLINE.items()}
+_UNKNOWN = {lang: re.compile(p) for lang, p in _UNKNOWN.items()}
 SPEECH = re.compile(_SPEECH)
 SELF = frozenset(_SELF)
 
@@ -69,6 +80,12 @@ def fold(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def declining(text: str) -> tuple[bool, bool]:
+    """Whether a folded text declines, and whether it says that it does not know, in any of the languages."""
+    langs = [lang for lang, needed in _NEEDED.items() if any(x in text for x in needed)]
+    return any(_DECLINE[x].search(text) for x in langs), any(_UNKNOWN[x].search(text) for x in langs)
+
+
 # ---- languages
 
 def trigrams(text: str) -> list[int]:
@@ -160,7 +177,7 @@ class Voter:
     """The votes of all labelling functions that look at one pair only."""
 
     def __init__(self, languages: Languages, subject: frozenset[str]) -> None:
-        self.languages, self.subject = languages, subject
+        self.languages, self.subject = languages, frozenset(w for w in subject if not SPEECH.search(w))
         self.question = lru_cache(1 << 12)(self._question)
 
     def _question(self, text: str) -> tuple:
@@ -191,15 +208,15 @@ class Voter:
             a_tri, q_tri = {low[i : i + 3] for i in range(len(low) - 2)}, {q_low[i : i + 3] for i in range(len(q_low) - 2)}
             jac = len(a_tri & q_tri) / max(1, len(a_tri | q_tri))
             out["copy"] = [1 if inside >= 0.8 and covered >= 0.8 else -1, 1 if q_bare and q_bare in bare and inside >= 0.7 else 0, 1 if jac >= 0.7 else -1 if jac < 0.5 else 0]
-        # refusal: who speaks of the subject at some length doesn't decline
-        about = sum(w in self.subject for w in own_words)
-        silent = about > 2
-        unknown = not silent and bool(UNKNOWN.search(own))
+        # refusal: any answer may decline; how much of it is the subject's is a vote of its own
+        about = sum(w in self.subject for w in own_words) / max(1, len(own_words))
+        numbers = any(w[0].isnumeric() for w in own_words)
+        declines, unknown = declining(own)
         out["refusal"] = [
-            1 if unknown or not silent and DECLINE.search(own) else -1,
+            1 if declines or unknown else -1,
             1 if unknown else 0,
-            1 if not about and not any(w[0].isnumeric() for w in own_words) else -1,
-            1 if not silent and len(own_words) <= 30 and (any(w in SELF for w in own_words) or SPEECH.search(own)) else 0,
+            -1 if numbers or about >= MUCH else 1 if about < LITTLE else 0,
+            1 if len(own_words) <= 30 and (any(w in SELF for w in own_words) or SPEECH.search(own)) else 0,
         ]
         # language: of what is not quoted
         text, ws = (own, own_words) if own_words else (low, words)
@@ -316,7 +333,9 @@ def defects(pairs: DataFrame) -> DataFrame:
         post = model.posterior(np.array(every, dtype=int).reshape(-1, len(LF_NAMES[d])))
         look = F.create_map(*[x for v, p in zip(every, post.tolist(), strict=True) for x in (F.lit(",".join(map(str, v))), F.lit(p))]) if every else F.create_map(F.lit(""), F.lit(0.0))
         out = out.withColumn(f"p_{d}", F.coalesce(F.try_element_at(look, F.array_join(F.transform(f"v_{d}", lambda x: x.cast("string")), ",")), F.lit(0.0)))
-    over = F.array(*(F.when(F.col(f"p_{d}") >= cutoffs[d], F.struct(F.col(f"p_{d}").alias("p"), F.lit(-k).alias("k"), F.lit(d).alias("defect"))) for k, d in enumerate(DEFECTS)))
+    # what declines and speaks of answering is a refusal first, in whatever language
+    leads = lambda d: (F.lit(d == "refusal") & (F.col("v_refusal")[0] == 1) & (F.col("v_refusal")[3] == 1)).cast("int")
+    over = F.array(*(F.when(F.col(f"p_{d}") >= cutoffs[d], F.struct(leads(d).alias("first"), F.col(f"p_{d}").alias("p"), F.lit(-k).alias("k"), F.lit(d).alias("defect"))) for k, d in enumerate(DEFECTS)))
     labels = F.transform(F.sort_array(F.filter(over, lambda x: x.isNotNull()), asc=False), lambda x: x["defect"])
     return out.select("row", *(f"p_{d}" for d in DEFECTS), labels.alias("labels"))
 

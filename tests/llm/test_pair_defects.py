@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from studyloom.llm.pair_defects import LabelModel, best_cutoff, defects
+from studyloom.llm.pair_defects import LabelModel, best_cutoff, declining, defects
 
 TOPIC = ["river terraces", "loan words", "grain prices", "night cooling", "salt intrusion", "pollen counts", "tree rings", "market rents", "bird song", "ice cover"]
 SCHEMA = "row bigint, question string, answer string, labels string, v_empty int"
@@ -56,3 +56,23 @@ def test_label_model_and_cutoff():
     assert (((p > 0.5) == truth).mean()) > 0.985
     assert 0.2 <= best_cutoff(m.posterior(patterns), n.astype(float)) <= 0.8
     assert best_cutoff(np.zeros(0), np.zeros(0)) == 0.5
+
+
+def test_refusals_that_name_their_topic(spark):
+    rows, _ = pairs()
+    r = random.Random(4)
+    named = {}
+    for i in range(5000, 5012):
+        a, b = r.sample(TOPIC, 2)
+        named[i] = r.choice([f"I'm sorry, I can't answer the question on {a} and {b}.", f"As an assistant I am unable to comment on {a}, {b} or anything like it.", f"Leider kann ich die Frage zu {a} und {b} nicht beantworten.", f"I don't know how {a} and {b} go together."])
+    whole = {6000 + i: f"{a.capitalize()} followed {b} and {c} in the report, which answers the question." for i, (a, b, c) in enumerate(r.sample(TOPIC, 3) for _ in range(12))}
+    rows += [(i, f"How does {TOPIC[i % 10]} change with the wind?", t, "x", 9) for i, t in [*named.items(), *whole.items()]]
+    out = {x.row: list(x.labels) for x in defects(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[i][:1] == ["refusal"] for i in named)
+    assert not any("refusal" in out[i] for i in whole)
+
+
+def test_declining():
+    assert [declining(x) for x in ("i can't say", "pass", "the pass is open", "no lo sé", "lo siento, no puedo", "weiß ich nicht", "désolé", "je ne peux pas", "не знаю", "не могу ответить", "jsp", "it isn't possible")] == [
+        (True, True), (False, True), (False, False), (False, True), (True, False), (True, True), (True, False), (True, False), (False, True), (True, False), (False, True), (True, False),
+    ]
