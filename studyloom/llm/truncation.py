@@ -112,32 +112,44 @@ def _partial_word(text: str) -> str:
     return m.group() if m else ""
 
 
-_SCAN = "kind string, row bigint, n_chars int, bare_chars int, marked boolean, open boolean, word string, ctx array<bigint>, level bigint, passed bigint, chars bigint, stopped bigint, opened bigint"
-_SCAN_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 5]
+_FOLDED = "row bigint, n_chars int, bare_chars int, folded string"
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every value with its lengths as stored and its folded text, which is the same for all values that look the same."""
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        lengths = [len(x) for x in raw], [len(_MARK.sub("", x.rstrip())) for x in raw]
+        cols = [batch.column(0), *(pa.array(x, pa.int32()) for x in lengths), pa.array([skeleton(x.lower()) for x in raw], pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _FOLDED.split(", ")])
+
+
+_SCAN = "kind string, row bigint, items boolean, marked boolean, open boolean, word string, ctx array<bigint>, level bigint, passed bigint, chars bigint, stopped bigint, opened bigint"
+_SCAN_TYPES = [pa.string(), pa.int64(), *[pa.bool_()] * 3, pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 5]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the values: 'tail' rows with the ending of each, 'ctx' rows counting what is passed and how it ends,
+    """One pass over the distinct folded texts: 'tail' rows with the ending of each, 'ctx' rows counting what is passed and how it ends,
     'word' rows counting the words that aren't last. Sentences of one frame are counted together before they are taken apart."""
     for batch in batches:
         rows, words, frames = [], Counter(), {}
-        for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            bare, marked, done = ending(skeleton(raw.lower()))
+        for row, folded, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bare, marked, done = ending(folded)
             frame, seen, width = items(bare)
             words.update(seen[:-1])
             start, end = 0, len(frame)
+            times = copies if _way(frame[:-1] if frame[-1:] == ["."] else frame, *next(_sentences(frame), (0, 0, 0))[:2]) == 1 else 1
             for start, end, stop in _sentences(frame):
                 key = ("" if start == 0 else ";" if frame[start - 1] == ";" else ".", stop or done, *frame[start:end])
                 if key in frames:
                     have = frames[key]
-                    have[0] += 1
+                    have[0] += times
                     for k in range(start, end):
-                        have[1 + k - start] += width[k]
+                        have[1 + k - start] += times * width[k]
                 else:
-                    frames[key] = [1, *width[start:end]]
-            n_bare = len(_MARK.sub("", raw.rstrip())) if any(map(str.isalnum, bare)) else 0
+                    frames[key] = [times, *(times * x for x in width[start:end])]
             tail = ("", []) if done else (_partial_word(bare), contexts(frame, start, end))
-            rows.append(("tail", row, len(raw), n_bare, marked, not done, *tail, _way(frame, start, end), None, None, None, None))
+            rows.append(("tail", row, any(map(str.isalnum, bare)), marked, not done, *tail, _way(frame, start, end), None, None, None, None))
         counts: dict[int, list[int]] = {}
         for (first, stop, *frame), (n, *width) in frames.items():
             pad = 1 if first else 0
@@ -148,20 +160,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     have[2] += width[i - 1]
                     if i == len(frame):
                         have[3 if stop else 4] += n
-        rows += [("ctx", None, None, None, None, None, None, [c], *v) for c, v in counts.items()]
-        rows += [("word", None, None, None, None, None, w, None, None, n, None, None, None) for w, n in words.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 13, _SCAN_TYPES, strict=True)], names=[x.split()[0] for x in _SCAN.split(", ")])
+        rows += [("ctx", None, None, None, None, None, [c], *v) for c, v in counts.items()]
+        rows += [("word", None, None, None, None, w, None, None, n, None, None, None) for w, n in words.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 12, _SCAN_TYPES, strict=True)], names=[x.split()[0] for x in _SCAN.split(", ")])
 
 
 def endings(values: DataFrame) -> DataFrame:
     """values (row, text; row unique): row, n_chars, bare_chars, marked, open (no full stop), goes_on (odds that the text goes
     on after its last item, from what leads up to it), word_odds (how much likelier the last word is that of a cut text).
 
-    Null texts are left out. Texts without any item have odds of 1 and bare_chars 0."""
-    scan = cut(spread(values.filter(F.col("text").isNotNull()).select("row", "text")).mapInArrow(_scan, _SCAN))
+    Null texts are left out. Texts without any item have odds of 1 and bare_chars 0. Texts that look the same count
+    once; only values of a single short phrase, which recur as words do, count as often as they stand."""
+    copies = cut(spread(values.filter(F.col("text").isNotNull()).select("row", "text")).mapInArrow(_fold, _FOLDED))
+    texts = cut(copies.groupBy("folded").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+    scan = cut(spread(texts.select("row", "folded", "n")).mapInArrow(_scan, _SCAN))
     stats = scan.filter("kind = 'ctx'").groupBy(F.col("ctx")[0].alias("ctx"), "level").agg(*(F.sum(c).alias(c) for c in ("passed", "chars", "stopped", "opened")))
     stats = cut(stats)
-    tails = scan.filter("kind = 'tail'").select("row", "n_chars", "bare_chars", "marked", "open", "word", "ctx", F.col("level").alias("alone"))
+    tails = scan.filter("kind = 'tail'").select("row", "items", "marked", "open", "word", "ctx", F.col("level").alias("alone"))
     words = cut(scan.filter("kind = 'word'").groupBy("word").agg(F.sum("passed").alias("n")))
 
     # --- the last word
@@ -191,7 +206,11 @@ def endings(values: DataFrame) -> DataFrame:
     scored = best.select("row", (is_cut / (1 - is_cut)).alias("goes_on"))
     out = tails.join(worded, "row", "left").join(scored, "row", "left")
     one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
-    return out.select("row", "n_chars", "bare_chars", "marked", "open", one("word_odds"), one("goes_on"))
+    # back to every value, by a digest of the text it shares
+    digest = F.md5("folded").alias("digest")
+    out = out.join(texts.select("row", digest), "row").select("digest", "items", "marked", "open", one("word_odds"), one("goes_on"))
+    bare = F.when(F.col("items"), F.col("bare_chars")).otherwise(0).alias("bare_chars")
+    return copies.select("row", "n_chars", "bare_chars", digest).join(out, "digest").select("row", "n_chars", bare, "marked", "open", "word_odds", "goes_on")
 
 
 def _rates(stats: DataFrame) -> tuple[float, float]:
@@ -271,7 +290,7 @@ def truncated(values: DataFrame, cutoff: float = 0.5) -> DataFrame:
     limit_posterior, posterior, is_truncated, one row per value.
 
     Null and blank texts: never truncated, posterior 0. A text with a full stop at its end is whole. Texts of any length are
-    read whole; repeated texts count once for the word and ending statistics, but every value gets its row. Sources with
+    read whole; texts that look the same count once for the word and ending statistics (single short phrases each time), but every value gets its row. Sources with
     few values have no length fit and are judged by the ending. Null source: a source of its own. Other columns aren't read."""
     base = cut(values.select("field_name", F.col("record_key").cast("string").alias("record_key"), "source", "text", F.xxhash64("field_name", "record_key").alias("row")))
     ends = cut(endings(base.filter(F.col("text").isNotNull())))

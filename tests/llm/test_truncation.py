@@ -71,3 +71,13 @@ def test_endings_of_text():
     assert ending("it ends her [...]") == ("it ends her", True, False)
     assert ending("and so on ...")[2] and ending('he said "yes."')[2] and not ending("as in [5]")[2]
     assert items("the old town, 12 l'eau https://a.example/b")[0] == ["the", "X", ",", "#", "l", "X", "URL"]
+
+
+def test_copies_of_a_cut_text_are_cut(spark):
+    rows, _ = corpus()
+    cut = "Whoever compares the older maps of tree rings, as in the"
+    looks = [cut, cut.upper(), cut.replace("o", "о")]  # the last with Cyrillic letters
+    copies = [("f", f"c{i}", "s", looks[i % 3], 1, 0.0) for i in range(50)]
+    out = {r.record_key: r for r in truncated(spark.createDataFrame([*rows, *copies], SCHEMA)).collect()}
+    assert len(out) == len(rows) + 50
+    assert all(out[f"c{i}"].is_truncated for i in range(50))
