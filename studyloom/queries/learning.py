@@ -106,6 +106,12 @@ def concepts_missed(spark: SparkSession, at: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_missing"), "folded", "concept"))).select("place", "concept", "n_missing")
 
 
+def concepts_missed_by_bank(spark: SparkSession, at: str) -> DataFrame:
+    """Of every bank all concepts that were missing, in order."""
+    place = F.row_number().over(Window.partitionBy(*BANK).orderBy(F.desc("n_missing"), "folded", "concept"))
+    return difficult_concepts(_attempts(spark, at), *BANK).withColumn("place", place).select(*BANK, "place", "concept", "n_missing")
+
+
 # ---- citations
 
 def _summaries(spark: SparkSession, at: str) -> DataFrame:
@@ -251,7 +257,7 @@ def schema_evolution(spark: SparkSession, at: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_topk, vec_topk_filtered, vec_validate, vec_join_metadata, review_history, review_states, review_final, review_due, progress_by_bank, concepts_missed, citation_resolve, eval_citations, eval_report,
+        vec_topk, vec_topk_filtered, vec_validate, vec_join_metadata, review_history, review_states, review_final, review_due, progress_by_bank, concepts_missed, concepts_missed_by_bank, citation_resolve, eval_citations, eval_report,
         eval_concepts, citation_coverage, question_dedupe, catalog_membership, package_lookup, prompt_fingerprints, cache_misses, json_strict, upsert_latest, idempotent_put, replace_document, remove_cascade, schema_evolution,
     )
 }
@@ -313,6 +319,7 @@ ORACLES = {
       select document_id, question_bank_identity_fingerprint, n_questions, n_answered, n_attempts, n_incorrect, n_partially_correct, n_correct, n_unclassified, n_due, {_STAMP.format(c='nd')} as next_due_at, {_STAMP.format(c='ls')} as last_studied_at,
         n_answered / n_questions as answered_rate, case when n_attempts = 0 then 0.0 else n_correct / n_attempts end as correct_rate from g""",
     "concepts_missed": f"with {_ATT}, m as (select unnest(evaluation.missing_concepts) as concept from a), c as (select concept, count(*) as n_missing from m group by 1) select (row_number() over (order by n_missing desc, {_FOLDED.format(c='concept')}, concept))::int as place, concept, n_missing from c qualify place <= 100",
+    "concepts_missed_by_bank": f"with {_ATT}, m as (select document_id, question_bank_identity_fingerprint, unnest(evaluation.missing_concepts) as concept from a), c as (select document_id, question_bank_identity_fingerprint, concept, count(*) as n_missing from m group by all) select document_id, question_bank_identity_fingerprint, (row_number() over (partition by document_id, question_bank_identity_fingerprint order by n_missing desc, {_FOLDED.format(c='concept')}, concept))::int as place, concept, n_missing from c",
     "citation_resolve": f"""with c as (select {_DOC} as document, chunk_index, chunk_id, text from chunks where document_id is not null qualify row_number() over (partition by document, chunk_index order by chunk_id) = 1),
       s as (select summary_id, {_DOC} as document, unnest(citations) as x, generate_subscripts(citations, 1) as place from document_summaries)
       select summary_id, place::int as place, x.number as number, coalesce(chunk_id, -1) as chunk_id, coalesce(starts_with(c.text, x.excerpt), false) as excerpt_matches from s left join c on c.document = s.document and c.chunk_index = x.chunk_index""",

@@ -83,3 +83,19 @@ def test_cases_file(spark, tmp_path):
         (tmp_path / f"bad{k}.json").write_text(json.dumps(bad))
         with pytest.raises(Exception):  # noqa: B017
             read_cases(spark, str(tmp_path / f"bad{k}.json")).collect()
+
+
+def test_every_missed_concept_of_every_bank_comes_out(spark, tmp_path):
+    import datetime as dt
+
+    from studyloom.queries.learning import concepts_missed_by_bank
+
+    t = dt.datetime(2024, 1, 1)
+    schema = "id string, document_id string, question_bank_identity_fingerprint string, question_number int, question_text string, answer_text string, expected_answer string, rating string, answered_at timestamp, evaluation struct<verdict:string, missing_concepts:array<string>>, received_at timestamp"
+    row = lambda i, bank, concepts: (str(i), bank, "f", 1, "q", "a", "e", "good", t, ("incorrect", concepts), t)
+    rows = [row(0, "x", [f"concept {k:03}" for k in range(150)]), row(1, "x", ["concept 149"]), row(2, "y", ["b", "A"])]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/study_attempts.parquet")
+    out = concepts_missed_by_bank(spark, str(tmp_path)).collect()
+    places = {(r.document_id, r.concept): r.place for r in out}
+    assert len(out) == 152 and places["x", "concept 149"] == 1 and places["x", "concept 148"] == 150
+    assert [places["y", c] for c in "Ab"] == [1, 2]
