@@ -1,279 +1,368 @@
 """Problem 8: keyword-stuffed and link-list pages, by an n-gram model of function words and word classes trained on prose.
 
-Every page becomes lines of classes: closed-class words stand for themselves, other words for their class, and a word that
-the page has just used for 'again'. A trigram model with back-off is trained on the lines of all pages that read like prose; a
-line whose perplexity under it is abnormally high or low is not prose. A page is spam when most of its text lies in such lines
-and is made of repetitions, links, tags or products, not of contents, glossaries or references."""
+Every page becomes a sequence of classes: closed-class words stand for themselves, signs too; other words stand for their class, which
+tells how much of the page's words so far they make up and how many such words precede them without a break; links, tags, amounts
+and numbers have classes of their own. A trigram model with back-off is trained on the pages that read like prose. A page is spam
+if its perplexity under the model is abnormally high or low: the median over its windows, so that half of the page must be, against
+what prose pages of its length have. Nothing but the perplexity decides, with one exception: the lines of lists of contents (see
+without_contents) aren't read."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.canonical import compose
+from studyloom.llm.lookalikes import skeleton
 from studyloom.llm.wordlists import FRAME
 from studyloom.plans.lineage import cut, spread
 
-#: A word is 'again' if it is among so many words before it.
-RECENT = 12
-#: Hash buckets of the model's contexts and trigrams: its size is fixed.
-BUCKETS = 1 << 17
+#: Trigrams that make up a smaller share of all are left to the back-off: the model has at most 1 / LEAST of them.
+LEAST = 1e-6
+#: A context that makes up this share of all is trusted by half, so that a few pages of another kind don't make theirs likely.
+RARE = 2e-4
+#: Bits of the least likely class: a few odd ones don't make a page abnormal.
+MOST = 10
 #: Rounds of training: each leaves out what the round before found abnormal.
 ROUNDS = 2
-#: Classes of the shortest line that the model is trained on.
-LEAST_LINE = 4
-
-_DOTS = re.compile(r"\w[.\-*·]\w[.\-*·]\w[.\-*·]")
-_DOTTED = re.compile(r"(?:\w[.\-*·]){3,}\w?")
-_TOKEN = re.compile(r"https?://[^\s\"<>)\]]+|www\.\S+|<[^<>]{1,200}>|#[\w']+|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+(?:[.,]\d+)*|[^\s\w]|_")
-_PRICE = re.compile(r"[$€£¥]\s?\d|\d\s?[$€£¥]|\bSKU\b|\b[A-Z]{2,4}-\d{3,}")
-_STOP = re.compile(r"[.!?…:]['\"”’»)\]]*\s*$")
-_REFERENCE = re.compile(r"^\s*(?:\[?\d{1,3}[\].)]|[-•*])\s+.*?(?:\b(?:1[5-9]|20)\d\d\b)")
-_CONTENTS = re.compile(r"(?:\.\s?){3,}\s*\d+\s*$|\s\d+\s*$")
-_AGAIN = ("", "<again1>", "<again2>", "<again3>")
-
-
-@lru_cache(1 << 17)
-def _kind(tok: str) -> tuple[tuple[str, ...], str | None, str | None]:
-    """What a token is apart from its neighbours: classes that stand in any case, the class it has when new, its word."""
-    if tok[0] == "#" and len(tok) > 1:
-        return ("<tag>",), None, tok.lower()
-    if tok.startswith(("http", "www.")) and "." in tok:
-        return ("<url>",), None, None
-    if tok[0] == "<" and len(tok) > 1:
-        return ("<url>" if "href" in tok else "<markup>",), None, None
-    if tok[0].isalpha():
-        low = tok.lower()
-        parts = re.split("['’]", low)
-        if low in FRAME or all(p in FRAME for p in parts if p):
-            return (low,), None, None
-        return tuple(p for p in parts[:-1] if p in FRAME), "<Word>" if tok[0].isupper() else "<word>", parts[-1]
-    if tok[0].isnumeric():
-        return ("<number>",), None, None
-    return (tok,), None, None
-
-
-_PAGE = "doc_id bigint, prose boolean, lines array<string>, kinds array<string>, n_words int, n_frame int, n_again int, n_content int, n_distinct int"
-_PAGE_TYPES = [pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.int32()] * 5]
-
-
-def parse(text: str) -> tuple:
-    """A page as its lines of classes (joined by blanks), the kind of each line, and what its words are.
-
-    prose: fit for training, mostly closed sentences with function words and few repetitions."""
-    text = compose(text, {})
-    if _DOTS.search(text):  # letters set apart by signs are the word they spell
-        text = _DOTTED.sub(lambda m: re.sub(r"[.\-*·]", "", m.group()), text)
-    recent: deque = deque(maxlen=RECENT)
-    lines, kinds, seen = [], [], set()
-    n_content = n_frame = n_again = closed = 0
+#: Classes of one window of a page, and the least share of closed-class words in a window that is trained on.
+WINDOW, FRAMED = 32, 0.1
+#: A page further from the middle of prose pages than so many deviations is abnormal; a window further than TRIM isn't trained on.
+ABNORMAL, TRIM = 4.5, 4.0
+#: Classes as in the middle of prose pages that every page is taken to have besides its own, as a few tell little.
+FEW = 8
+#: Shares of a page's words so far (SOFTEN words more) that divide the classes of repeated words.
+AGAIN, SOFTEN = (0.03, 0.06, 0.12, 0.25), 16
+#: Words since the last closed-class word, number or full stop are told apart up to so many past the third.
+LONG = 5
+#: Characters that are taken apart at once, and tokens that a worker remembers.
+SLICE, REMEMBERED = 1 << 20, 1 << 20
+
+_TOKEN = re.compile(r"https?://[^\s\"<>)\]]+|www\.[^\s\"<>)\]]+|#[^\W_]+|[^\W\d_]+|\d+(?:[.,]\d+)*|\.\.+|[^\s\w]|_|\n+")
+# Characters that cannot be seen.
+_HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
+_WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20}
+_IS_WIDE = re.compile("[！-～　]")
+
+# Signs with a class of their own.
+_SIGNS = ".,;:!?()[]\"'«»„“”‘’–—-/|·•*→=+&@%_~<>"
+_WORDS = {w: k for k, w in enumerate(sorted({skeleton(x) for x in FRAME}))}
+_NAMED = {name: len(_WORDS) + k for k, name in enumerate(("line", "url", "tag", "number", "amount", "dots", "sign", *_SIGNS))}
+#: First class of the words that aren't closed-class; a new word, a new capitalised one, and one for each share in AGAIN.
+OPEN = len(_WORDS) + len(_NAMED)
+_A_RUN = 3 + len(AGAIN)
+#: How many classes there are.
+KINDS = OPEN + _A_RUN * (LONG + 1)
+_LINE, _STOPS, _FRESH = _NAMED["line"], [_NAMED[x] for x in ".!?"], [_NAMED[x] for x in (*".!?:;", "number")]
+
+
+class Classes(dict):
+    """The class of each token; of a word that isn't closed-class -1 - (2 * number of the word + whether it is capitalised)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        first = token[0]
+        if first.isalpha():
+            if token.startswith(("http://", "https://", "www.")):
+                k = _NAMED["url"]
+            else:
+                low = skeleton(skeleton(token).lower())
+                k = _WORDS.get(low)
+                if k is None:
+                    k = -1 - 2 * self.words.setdefault(low, len(self.words)) - first.isupper()
+        elif first == "\n":
+            k = _LINE
+        elif first.isnumeric():
+            k = _NAMED["number"]
+        elif len(token) > 1:
+            k = _NAMED["tag" if first == "#" else "dots"]
+        else:
+            k = _NAMED["amount"] if unicodedata.category(first) == "Sc" else _NAMED.get(token, _NAMED["sign"])
+        self[token] = k
+        return k
+
+
+def fold(text: str) -> str:
+    """text composed, without invisible characters and widths, with one kind of line end."""
+    if not text.isascii():
+        text = _HIDDEN.sub("", text)
+        if _IS_WIDE.search(text):
+            text = text.translate(_WIDE)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+
+
+_PAGE_NUMBER = re.compile(r"(?:[^\S\n]|\.\.[^\S\n]?)(\d{1,4})[^\S\n]*$", re.MULTILINE)
+
+
+def without_contents(text: str) -> str:
+    """text without lists of contents: three lines or more on end that each end in a page number not below the one before."""
+    if len(_PAGE_NUMBER.findall(text)) < 3:
+        return text
+    out: list[str] = []
+    held: list[str] = []
+    last = -1
     for line in text.split("\n"):
-        tokens = _TOKEN.findall(line)
-        if not tokens:
-            continue
-        cs: list[str] = []
-        again = content = 0
-        for tok in tokens:
-            always, new, word = _kind(tok)
-            cs += always
-            if word is not None:
-                content += 1
-                seen.add(word)
-                if new is not None:
-                    if times := recent.count(word):
-                        again += 1
-                        new = _AGAIN[min(times, 3)]
-                    cs.append(new)
-                    recent.append(word)
-        if not cs:
-            continue
-        frame = sum(c[0].isalpha() for c in cs)
-        kind = ""
-        if "<url>" in cs:
-            kind = "reference" if _REFERENCE.match(line) else "link"
-        elif _PRICE.search(line):
-            kind = "price"
-        elif not again and _CONTENTS.search(line):
-            kind = "contents"
-        if _STOP.search(line):
-            closed += content + frame
-        lines.append(" ".join(cs))
-        kinds.append(kind)
-        n_content, n_frame, n_again = n_content + content, n_frame + frame, n_again + again
-    n_words = n_content + n_frame
-    prose = n_words >= 20 and n_frame >= 0.15 * n_words and n_again <= 0.25 * n_words and closed >= 0.7 * n_words
-    return prose, lines, kinds, n_words, n_frame, n_again, n_content, len(seen)
+        found = _PAGE_NUMBER.search(line)
+        n = int(found.group(1)) if found else -1
+        if n < 0 or n < last:
+            out += held if len(held) < 3 else []
+            held = []
+        if n < 0:
+            out.append(line)
+        else:
+            held.append(line)
+        last = n
+    return "\n".join(out + (held if len(held) < 3 else []))
+
+
+def _open_classes(codes: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """codes with the words that aren't closed-class by their share of the page's words so far and how many came without a break."""
+    at = np.flatnonzero(codes < 0)
+    if not len(at):
+        return codes
+    word, of = -1 - codes[at], page[at]
+    upper, word = word & 1, word >> 1
+    key = of * (int(word.max()) + 1) + word
+    order = np.argsort(key, kind="stable")
+    nth = lambda fresh: np.arange(len(fresh)) - np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+    times = np.empty(len(at), np.int64)
+    times[order] = nth(np.r_[True, np.diff(key[order]) != 0])
+    before = nth(np.r_[True, np.diff(of) != 0])
+    share = np.searchsorted(AGAIN, times / (before + SOFTEN), side="right")
+    fresh = (codes >= 0) & ((codes < len(_WORDS)) | np.isin(codes, _FRESH))  # what a row of such words ends at
+    so_far = np.cumsum(codes < 0)
+    starts = np.flatnonzero(np.diff(page, prepend=-1))
+    since = np.where(fresh, so_far, 0)
+    since[starts] = so_far[starts] - (codes[starts] < 0)
+    run = np.clip((so_far - np.maximum.accumulate(since))[at] - 3, 0, LONG)
+    out = codes.copy()
+    out[at] = OPEN + np.where(times == 0, upper, 2 + share) + _A_RUN * run
+    return out
+
+
+def classify(texts: list[str], known: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all pages in a row, and how many each page has."""
+    codes: list[int] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        mine = list(map(known.__getitem__, _TOKEN.findall(without_contents(fold(text)))))
+        sizes[i] = len(mine)
+        codes += mine
+    return _open_classes(np.array(codes, np.int64), np.repeat(np.arange(len(texts)), sizes)).astype(np.int16), sizes
+
+
+def reads_like_prose(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pages seed the model: enough words, many of them closed-class, in sentences, hardly links, tags or repetitions."""
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    count = lambda what: np.bincount(page, what, len(sizes))
+    closed, open_ = count(classes < len(_WORDS)), count(classes >= OPEN)
+    again = count((classes >= OPEN) & ((classes - OPEN) % _A_RUN >= 4))
+    odd, stops = count(np.isin(classes, [_NAMED[x] for x in ("url", "tag", "amount")])), count(np.isin(classes, _STOPS))
+    return (closed + open_ >= 20) & (closed >= 0.12 * sizes) & (stops * 40 >= closed + open_) & (again <= 0.25 * open_) & (odd * 10 <= sizes)
+
+
+_PAGE = "doc_id bigint, prose boolean, classes binary"
+
+
+def _slices(texts: list[str]) -> Iterator[slice]:
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > SLICE:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Classes()
     for batch in batches:
-        rows = [(doc, *parse(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 9, _PAGE_TYPES, strict=True)], names=[x.split()[0] for x in _PAGE.split(", ")])
+        docs, texts = batch.column(0), batch.column(1).to_pylist()
+        for part in _slices(texts):
+            if len(known) > REMEMBERED:
+                known = Classes()
+            classes, sizes = classify(texts[part], known)
+            prose, ends = reads_like_prose(classes, sizes), np.cumsum(sizes)
+            packed = [classes[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([docs[part], pa.array(prose), pa.array(packed, pa.binary())], names=["doc_id", "prose", "classes"])
 
 
-def _bucket(*parts: str) -> int:
-    return xxhash.xxh32_intdigest("\x1f".join(parts)) % BUCKETS
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    packed = column.to_pylist()
+    return np.frombuffer(b"".join(packed), np.int16).astype(np.int64), np.array([len(x) >> 1 for x in packed], np.int64)
 
 
-class Model:
-    """Interpolated trigrams over classes, counted in hash buckets."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts  # rows: trigram, its context, bigram, its context, unigram
-        self.total = max(1.0, float(counts[4].sum()))
-        self.cache: dict[tuple, float] = {}
-
-    def cost(self, a: str, b: str, c: str) -> float:
-        """Bits of class c after a and b."""
-        n = self.counts
-        p1 = (n[4, _bucket(c)] + 0.1) / (self.total + 0.1 * 2000)
-        p2 = (n[2, _bucket(b, c)] + 2 * p1) / (n[3, _bucket(b)] + 2)
-        p3 = (n[0, _bucket(a, b, c)] + 2 * p2) / (n[1, _bucket(a, b)] + 2)
-        bits = -math.log2(max(1e-12, float(p3)))
-        if len(self.cache) < 400_000:
-            self.cache[a, b, c] = bits
-        return bits
-
-    def line(self, cs: str) -> float:
-        """Mean bits per class of a line."""
-        seq = ["^", "^", *cs.split(" "), "$"]
-        have, total = self.cache, 0.0
-        for gram in zip(seq, seq[1:], seq[2:], strict=False):
-            bits = have.get(gram)
-            total += self.cost(*gram) if bits is None else bits
-        return total / (len(seq) - 2)
-
-
-def _trainable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of prose pages, with how often they came."""
-    for batch in batches:
-        seen = Counter()
-        for lines, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen.update(line for line, kind in zip(lines, kinds, strict=True) if kind not in ("link", "price") and line.count(" ") >= LEAST_LINE - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["line", "n"])
-
-
-_COUNTS = "r int, k int, n bigint"
-
-
-def _training(model: Model | None, normal: tuple[float, float] | None):  # noqa: ANN202
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = Counter()
-            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if model is not None and not normal[0] <= model.line(line) <= normal[1]:
-                    continue
-                seq = ["^", "^", *line.split(" "), "$"]
-                for gram in zip(seq, seq[1:], seq[2:], strict=False):
-                    grams[gram] += n
-            counts = np.zeros((5, BUCKETS), np.int64)
-            for (a, b, c), n in grams.items():
-                for row, key in enumerate((_bucket(a, b, c), _bucket(a, b), _bucket(b, c), _bucket(b), _bucket(c))):
-                    counts[row, key] += n
-            r, k = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(k, pa.int32()), pa.array(counts[r, k], pa.int64())], names=["r", "k", "n"])
+# ---- the model
 
-    return count
+def _grams(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each class's trigram and bigram; a page begins after line ends."""
+    one, two = np.full(len(classes), _LINE), np.full(len(classes), _LINE)
+    one[1:], two[2:] = classes[:-1], classes[:-2]
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    one[starts], two[starts] = _LINE, _LINE
+    two[starts[sizes[sizes > 0] > 1] + 1] = _LINE
+    bi = one * KINDS + classes
+    return two * KINDS**2 + bi, bi
 
 
-def _fit(lines: DataFrame, model: Model | None, normal: tuple[float, float] | None) -> Model:
-    table = np.zeros((5, BUCKETS), np.float32)
-    counts = lines.mapInArrow(_training(model, normal), _COUNTS).groupBy("r", "k").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()  # at most 5 * BUCKETS rows, whatever the corpus
-    table[found.column("r").to_numpy(), found.column("k").to_numpy()] = found.column("n").to_numpy()
-    return Model(table)
+def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many windows each page has (the last one takes the rest), and the window of every class."""
+    of = np.maximum(1, sizes // WINDOW)
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(len(page)) - (np.cumsum(sizes) - sizes)[page]
+    return of, (np.cumsum(of) - of)[page] + np.minimum(within // WINDOW, of[page] - 1)
 
 
-def _bits(model: Model):  # noqa: ANN202
-    """A histogram (tenths of a bit) of the cost of the training lines."""
+class Model:
+    """Interpolated trigrams over classes, and how prose pages do under them.
+
+    middle and spread: the median page and the deviation between long pages; noise: the variance of one class."""
+
+    def __init__(self, trigrams: np.ndarray, tri_counts: np.ndarray, bigrams: np.ndarray, bi_counts: np.ndarray) -> None:
+        self.trigrams, self.tri = trigrams, np.append(tri_counts, 0).astype(np.float32)  # the last for all others
+        self.bi = np.zeros(KINDS * KINDS, np.float32)
+        self.bi[bigrams] = bi_counts
+        pairs = self.bi.reshape(KINDS, KINDS).astype(np.float64)
+        self.first, self.uni, self.total = pairs.sum(1), pairs.sum(0), max(1.0, pairs.sum())
+        self.middle, self.spread, self.noise = 0.0, 1.0, 0.0
+        self.index: pd.Index | None = None
+
+    def bits(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Bits of every class."""
+        if self.index is None:
+            self.index = pd.Index(self.trigrams)
+        tri, bi = _grams(classes, sizes)
+        trust = 2 + RARE * self.total
+        p = (self.uni[classes] + 0.1) / (self.total + 0.1 * KINDS)
+        p = (self.bi[bi] + trust * p) / (self.first[bi // KINDS] + trust)
+        p = (self.tri[self.index.get_indexer(tri)] + trust * p) / (self.bi[tri // KINDS] + trust)
+        return -np.log2(np.clip(p, 2.0**-MOST, 1.0))
+
+    def windows(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The window of every class, the mean bits of each window, the bits of every class, and how many windows a page has."""
+        of, window = _windows(sizes)
+        bits = self.bits(classes, sizes)
+        return window, np.bincount(window, bits, int(of.sum())) / np.maximum(1, np.bincount(window, minlength=int(of.sum()))), bits, of
+
+    def pages(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The median bits a class over the windows of each page (0 for an empty page), and the sum of squares within windows."""
+        window, mean, bits, of = self.windows(classes, sizes)
+        first = np.cumsum(of) - of
+        ranked = mean[np.lexsort((mean, np.repeat(np.arange(len(sizes)), of)))]
+        square = np.bincount(np.repeat(np.arange(len(sizes)), sizes), (bits - mean[window]) ** 2, len(sizes))
+        return (ranked[first + (of - 1) // 2] + ranked[first + of // 2]) / 2, square
+
+    def deviation(self, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How far pages are from the middle of prose pages of their length, in deviations."""
+        return np.where(sizes > 0, (bits - self.middle) * sizes / (sizes + FEW) / np.sqrt(self.spread**2 + self.noise / np.maximum(1, sizes)), 0.0)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _training(model: Model | None):  # noqa: ANN202
+    """The trigrams of the prose pages' windows that have closed-class words and aren't far out under the model before, counted
+    once a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            seen = Counter()
-            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[round(10 * model.line(line))] += n * (line.count(" ") + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
+            classes, sizes = _unpacked(batch.column(0))
+            of, window = _windows(sizes)
+            long = np.bincount(window, minlength=int(of.sum()))
+            kept = np.bincount(window, classes < len(_WORDS), int(of.sum())) >= FRAMED * long
+            if model is not None:
+                kept &= np.abs(model.deviation(model.windows(classes, sizes)[1], long)) < TRIM
+            parts.append(np.unique(_grams(classes, sizes)[0][kept[window]], return_counts=True))
+            held += len(parts[-1][0])
+            if held > SLICE:
+                parts = [_summed(parts)]
+                held = 0
+        keys, n = _summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["tri", "n"])
 
     return count
 
 
-def train(pages: DataFrame) -> tuple[Model, tuple[float, float]]:
-    """The prose model of all parsed pages and the range of bits a class that is normal for prose lines."""
-    lines = pages.filter("prose").select("lines", "kinds").mapInArrow(_trainable, "line string, n bigint")
-    lines = cut(lines.groupBy("line").agg(F.sum("n").alias("n")))
-    model, normal = None, None
-    for _ in range(ROUNDS):
-        model = _fit(lines, model, normal)
-        rows = sorted(lines.mapInArrow(_bits(model), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect())  # at most some hundreds
-        if not rows:
-            return model, (0.0, 40.0)
-        k, n = np.array([r["k"] for r in rows]) / 10, np.array([r["n"] for r in rows], dtype=float)
-        at = np.cumsum(n) / n.sum()
-        low, mid, high = (k[np.searchsorted(at, q)] for q in (0.25, 0.5, 0.75))
-        spread = max(0.2, (high - low) / 1.35)
-        normal = (mid - 4 * spread, mid + 4 * spread)  # of a line; a whole page varies less
-    return model, normal
+def _measuring(model: Model):  # noqa: ANN202
+    """A histogram of the pages by hundredths of a bit, with their squares and classes, once a task."""
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[float]] = {}
+        for batch in batches:
+            classes, sizes = _unpacked(batch.column(0))
+            bits, square = model.pages(classes, sizes)
+            for k, s, n in zip(np.rint(100 * bits).astype(int).tolist(), square.tolist(), sizes.tolist(), strict=True):
+                have = seen.setdefault(k, [0, 0.0, 0])
+                have[0], have[1], have[2] = have[0] + 1, have[1] + s, have[2] + n
+        cols = list(zip(*seen.values(), strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["k", "n", "squares", "classes"])
 
-_SCORE = "doc_id bigint, n_words int, bits double, page_abnormal boolean, abnormal double, again double, links double, tags double, prices double, contents double, distinct double, frame double"
-
+    return measure
 
-def _score(model: Model, normal: tuple[float, float]):  # noqa: ANN202
-    middle, half = (normal[0] + normal[1]) / 2, (normal[1] - normal[0]) / 4
-    inner = (middle - half, middle + half)
 
+def train(parsed: DataFrame) -> Model | None:
+    """The prose model of all parsed pages; None if no page reads like prose."""
+    prose = parsed.filter("prose").select("classes")
+    model = None
+    for _ in range(ROUNDS):
+        counts = cut(prose.mapInArrow(_training(model), "tri bigint, n bigint").groupBy("tri").agg(F.sum("n").alias("n")))
+        pairs = counts.groupBy((F.col("tri") % KINDS**2).alias("bi")).agg(F.sum("n").alias("n")).toArrow()  # at most KINDS ** 2 rows
+        if not pairs.num_rows:
+            return model
+        least = LEAST * pc.sum(pairs.column("n")).as_py()
+        common = counts.filter(F.col("n") >= least).toArrow()  # at most 1 / LEAST rows
+        model = Model(*(t.column(c).to_numpy() for t, c in ((common, "tri"), (common, "n"), (pairs, "bi"), (pairs, "n"))))
+        rows = prose.mapInArrow(_measuring(model), "k int, n bigint, squares double, classes bigint").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "squares", "classes"))).collect()  # at most 4,000 rows
+        rows.sort(key=lambda r: r["k"])
+        k, n = np.array([r["k"] for r in rows]) / 100, np.cumsum([r["n"] for r in rows])
+        low, model.middle, high, far = (float(k[np.searchsorted(n, q * n[-1])]) for q in (0.25, 0.5, 0.75, 0.95))
+        model.spread = max(0.1, (high - low) / 1.35, (far - model.middle) / 1.64)
+        model.noise = math.fsum(r["squares"] for r in rows) / max(1, sum(r["classes"] for r in rows))
+    return model
+
+
+_SCORE = "doc_id bigint, n_classes bigint, bits double, deviation double"
+
+
+def _scoring(model: Model | None):  # noqa: ANN202
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, lines, kinds, n_words, n_frame, n_again, n_content, n_distinct in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size = Counter()
-                odd = cost = 0.0
-                for line, kind in zip(lines, kinds, strict=True):
-                    w = line.count(" ") + 1
-                    bits = model.line(line)
-                    size["all"] += w
-                    size[kind] += w
-                    size["tag"] += line.count("<tag>")
-                    cost += bits * w
-                    if kind in ("link", "price") or not normal[0] <= bits <= normal[1]:
-                        odd += w
-                total, content = max(1, size["all"]), max(1, n_content)
-                rows.append((
-                    doc, n_words, cost / total, not inner[0] <= cost / total <= inner[1], odd / total, n_again / content, size["link"] / total, size["tag"] / total,
-                    size["price"] / total, size["contents"] / total, n_distinct / content, n_frame / max(1, n_words),
-                ))
-            names = [x.split()[0] for x in _SCORE.split(", ")]
-            types = [pa.int64(), pa.int32(), pa.float64(), pa.bool_(), *[pa.float64()] * 8]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 12, types, strict=True)], names=names)
+            classes, sizes = _unpacked(batch.column(1))
+            bits = model.pages(classes, sizes)[0] if model else np.zeros(len(sizes))
+            away = model.deviation(bits, sizes) if model else np.zeros(len(sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(bits), pa.array(away)], names=["doc_id", "n_classes", "bits", "deviation"])
 
     return score
 
 
 def page_scores(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every page: doc_id, words, bits a class under the prose model and whether that is abnormal for a page, the shares of its text that is abnormal,
-    repeated, links, tags, product entries, lines of contents; distinct content words and closed-class words."""
+    """Of every page: doc_id, n_classes, bits (a class, the median over its windows) and deviation from prose of its length."""
     base = pages.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     parsed = cut(spread(base).mapInArrow(_parsed, _PAGE))
-    model, normal = train(parsed)
-    return parsed.drop("prose").mapInArrow(_score(model, normal), _SCORE)
+    return parsed.select("doc_id", "classes").mapInArrow(_scoring(train(parsed)), _SCORE)
 
 
 def spam_pages(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """page_scores() with is_spam.
+    """page_scores() with is_spam: the deviation is beyond ABNORMAL on either side.
 
     Null texts are left out; empty pages and pages of blanks only are no spam. Pages of any length are read whole. Repeated
-    rows get equal results. An empty table gives none. Other columns aren't read."""
-    s = page_scores(pages, doc_id, text)
-    stuffed = (F.col("again") >= 0.45) & (F.col("distinct") <= 0.35) & (F.col("page_abnormal") | (F.col("abnormal") >= 0.3))
-    listed = (F.col("abnormal") >= 0.4) & ((F.col("links") >= 0.5) | (F.col("tags") >= 0.3) | (F.col("prices") >= 0.5))
-    bare = (F.col("abnormal") >= 0.5) & (F.col("frame") < 0.2) & (F.col("contents") < 0.5) & (F.col("distinct") < 0.6)
-    return s.withColumn("is_spam", (F.col("n_words") >= 1) & (stuffed | listed | bare))
+    rows get equal results. Without any page that reads like prose there is no model, and no page is spam. An empty table gives
+    none. Other columns aren't read."""
+    return page_scores(pages, doc_id, text).withColumn("is_spam", F.abs("deviation") > ABNORMAL)
