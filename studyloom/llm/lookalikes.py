@@ -6,12 +6,12 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import regex
+
 # Letters of other scripts that are drawn as the Latin letter in the same place of LATIN.
 LATIN = "ABESIJKMHOPCTXYZNaeopcyxsijhvdqwl"
 CYRILLIC = "АВЕЅІЈКМНОРСТХҮ··аеорсухѕіјһѵԁԛԝӏ"
 GREEK = "ΑΒΕ·Ι·ΚΜΗΟΡ·ΤΧΥΖΝ··ο········ν····"
-# Cyrillic small letters whose capital looks Latin, and the small Latin letter of that capital.
-CAPITAL_ONLY = dict(zip("вкмнт", "bkmht", strict=True))
 # Hyphens that are drawn as the ASCII one.
 HYPHENS = "‐‑"
 
@@ -23,6 +23,20 @@ for _l, _c, _g in zip(LATIN, CYRILLIC, GREEK, strict=True):
     VARIANTS |= {x: _of for x in _of.values()}
 VARIANTS |= dict.fromkeys("µμ", {"latin": "µ", "greek": "μ"})
 CONFUSED = {x: of["latin"] for x, of in VARIANTS.items() if x != of["latin"]}
+#: Small letters that look like no Latin one but whose capital does, with the small Latin letter of that capital.
+CAPITAL_ONLY = {x.lower(): to.lower() for x, to in CONFUSED.items() if x.isupper() and x.lower() not in CONFUSED}
+
+
+# Characters that cannot be seen, besides those of the categories Cf and Cc.
+UNSEEN = "\u034f\u115f\u1160\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10)))
+_LINE_END = regex.compile(rf"\r(?:[\p{{Cf}}{UNSEEN}]*\n)?")
+
+
+def unify(text: str) -> str:
+    """text with one kind of line end (whatever invisible stands within it) and tabs as blanks, all that plain text needs."""
+    if "\r" in text:
+        text = _LINE_END.sub("\n", text)
+    return text.replace("\t", " ") if "\t" in text else text
 
 
 def _plainer(ch: str) -> str:
@@ -36,7 +50,7 @@ def _plainer(ch: str) -> str:
         return " "
     if kind in ("Zl", "Zp"):
         return "\n"
-    if kind in ("Cf", "Cc") or "︀" <= ch <= "️" or ch in "͏ᅟᅠㅤﾠ":
+    if kind in ("Cf", "Cc") or ch in UNSEEN:
         return ""
     tag, _, points = unicodedata.decomposition(ch).partition(" ")
     if tag in ("<wide>", "<narrow>", "<font>") or tag == "<compat>" and kind[0] == "L":
@@ -57,7 +71,7 @@ def plainer(text: str) -> str:
     """text decomposed, with one kind of blank and line end, without invisible characters, widths, fonts and ligatures."""
     if text.isascii() and "\r" not in text and "\t" not in text:
         return text
-    text = unicodedata.normalize("NFD", text.replace("\r\n", "\n").replace("\r", "\n")).translate(_PLAINER)
+    text = unicodedata.normalize("NFD", unify(text)).translate(_PLAINER)
     return unicodedata.normalize("NFD", text)
 
 
@@ -107,21 +121,12 @@ def spell(word: str, context: str) -> str:
     return "".join(out)
 
 
-# ---- the same fold as arguments of SQL's translate(), for text without combining marks and ligatures
-
-def _pairs() -> dict[str, str]:
-    """Every character of the Basic Multilingual Plane whose skeleton is another single character, or nothing."""
-    out = {}
-    for point in range(0x80, 0xFFFF):
-        ch = chr(point)
-        if not 0xD800 <= point <= 0xF8FF and unicodedata.category(ch) != "Cn" and len(to := skeleton(ch)) <= 1 and to != ch:
-            out[ch] = to
-    return out | {"\t": " ", "\r": ""}
+_CAPITALS = str.maketrans(CAPITAL_ONLY)
 
 
-@lru_cache(1)
-def translate_args() -> tuple[str, str]:
-    """The arguments of SQL's translate() that make a skeleton of text without combining marks and ligatures."""
-    pairs = _pairs()
-    kept, gone = [k for k, v in pairs.items() if v], [k for k, v in pairs.items() if not v]
-    return "".join(kept + gone), "".join(pairs[k] for k in kept)
+def caseless(text: str) -> str:
+    """What text looks like whatever its letter case: equal for a letter and its capital, and for all that looks like either."""
+    if text.isascii():
+        return text.lower()
+    low = skeleton(skeleton(text).lower())
+    return low if not UNPLAIN.search(low) else unicodedata.normalize("NFD", low).translate(_CAPITALS)

@@ -1,26 +1,40 @@
-"""SQL of the text queries that SQL can express: the look of text by translate() and normal forms."""
+"""SQL of the text queries that SQL can express: the look of text by translate() with a table written here by hand."""
 
 from __future__ import annotations
 
-import unicodedata
-
-from studyloom.llm.lookalikes import CAPITAL_ONLY, translate_args
+# What cannot be seen, blanks, and letters with the Latin letter that looks the same, by character.
+_UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0xFE00, 0xFE10), 0xFEFF]
+_BLANKS = [0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+_LETTERS = {
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ԁ": "d",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v",
+    "μ": "µ", "\u212a": "K", "‐": "-", "‑": "-",
+}
+# The small letters whose capital looks like a Latin one.
+_SMALL = {"в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "h", "ι": "i", "κ": "k", "ρ": "p", "τ": "t", "υ": "y", "χ": "x"}
+_LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+_WIDE = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
+
+
+def _translate(text: str, of: dict[str, str], gone: list[int] = []) -> str:  # noqa: B006
+    quote = lambda s: s.replace("'", "''")
+    return f"translate({text}, '{quote(''.join(of) + ''.join(map(chr, gone)))}', '{quote(''.join(of.values()))}')"
 
 
 def _look(text: str) -> str:
-    """SQL for skeleton(): line ends, composed form, look-alikes and widths by translate(), ligatures, composed form again."""
-    of, to = translate_args()
-    quote = lambda s: s.replace("'", "''")
-    x = f"translate(nfc_normalize(replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))), '{quote(of)}', '{quote(to)}')"
-    for point in range(0xFB00, 0xFB07):
-        x = f"replace({x}, '{chr(point)}', '{unicodedata.normalize('NFKC', chr(point))}')"
+    """SQL: what cannot be seen taken out, line ends, widths, composed form, letters, ligatures, composed form again."""
+    x = _translate(text, {chr(p): " " for p in _BLANKS}, _UNSEEN)
+    x = f"nfc_normalize({_translate(f'replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))', _WIDE)})"
+    x = _translate(x, _LETTERS)
+    for sign, letters in _LIGATURES.items():
+        x = f"replace({x}, '{sign}', '{letters}')"
     return f"nfc_normalize({x})"
 
 
 def _line_key(line: str) -> str:
-    low = f"lower({_look(line)})"
-    small = f"translate({low}, '{''.join(CAPITAL_ONLY)}', '{''.join(CAPITAL_ONLY.values())}')"
-    return rf"regexp_replace(regexp_replace({small}, '\s+', '', 'g'), '[0-9]+', '0', 'g')"
+    low = _translate(_translate(f"lower({_look(line)})", _LETTERS), _SMALL)
+    return rf"regexp_replace(regexp_replace({low}, '\s+', '', 'g'), '[0-9]+', '0', 'g')"
 
 
 _UUID = "case when length(regexp_replace(lower(document_id), 'urn:uuid:|[^0-9a-f]', '', 'g')) = 32 then regexp_replace(lower(document_id), 'urn:uuid:|[^0-9a-f]', '', 'g') else '!' || trim(lower(document_id)) end"

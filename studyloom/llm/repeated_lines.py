@@ -1,8 +1,9 @@
 """Problem 2: lines repeated across the documents of one source, by compressed document bitmaps per line.
 
-A document's number within the sorted (source, document) list is its bit. A line's bits lie in containers of 32768 bits: a
-rare line's container is the sorted array of its bits, a frequent line's a bitmap. Variants of a line are built apart and
-united, cardinalities are exact, and lines are deleted where their own document's bit is set."""
+A document's number within the sorted (source, document) list is its bit. A line's bits lie in containers of 32,768 bits. Every
+spelling in which a line is stored (a variant) gets containers of its own first: the sorted array of its bits while they are few,
+else a bitmap. The variants of a line are united, cardinalities are exact, and lines are deleted where their own document's bit
+is set."""
 
 from __future__ import annotations
 
@@ -10,36 +11,33 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import uuid_key
 from studyloom.llm.canonical import two_hashes
-from studyloom.llm.lookalikes import CAPITAL_ONLY, skeleton
+from studyloom.llm.lookalikes import caseless
 from studyloom.plans.lineage import broadcast_if_small, cut, spread
 
-#: A line standing in fewer rows than this keeps arrays of bits, a more frequent one bitmaps.
-DENSE_ROWS = 4096
+#: A container of at least so many bits is a bitmap, one of fewer a sorted array.
+DENSE = 256
 #: Bits of one container, as Spark's bitmap functions divide them.
 BITS = 32768
 
 
-_LOW = str.maketrans(CAPITAL_ONLY)
 _DIGITS = re.compile(r"\d+")
-_LINES = "chunk_id bigint, source string, doc string, line_no int, a bigint, b bigint"
-_LINE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+_LINES = "chunk_id bigint, source string, doc string, line_no int, a bigint, b bigint, variant bigint"
+_LINE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def line_key(line: str) -> str:
     """What makes two lines the same: their look without case, white space and the value of digit runs."""
-    low = skeleton(line.strip()).lower()
-    if not low.isascii():
-        low = low.translate(_LOW)
-    return _DIGITS.sub("0", "".join(low.split()))
+    return _DIGITS.sub("0", "".join(caseless(line).split()))
 
 
 def _explode_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[int, int] | None] = {}
+    known: dict[str, tuple[int, int, int] | None] = {}
     for batch in batches:
         rows = []
         for chunk, source, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -48,20 +46,48 @@ def _explode_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     h = known[line]
                 else:
                     key = line_key(line)
-                    h = known[line] = two_hashes(key) if key else None
+                    h = known[line] = (*two_hashes(key), xxhash.xxh64_intdigest(line) - (1 << 63)) if key else None
                 if h:
                     rows.append((chunk, source, doc, n, *h))
         if len(known) > 200_000:
             known.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, _LINE_TYPES, strict=True)], names=[x.split()[0] for x in _LINES.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, _LINE_TYPES, strict=True)], names=[x.split()[0] for x in _LINES.split(", ")])
 
 
 def lines_of(chunks: DataFrame, chunk_id: str, document_id: str, source: str, text: str) -> DataFrame:
-    """Every line that isn't empty: chunk_id, source, doc, line_no, a and b (128 bits of its key)."""
+    """Every line that isn't empty: chunk_id, source, doc, line_no, a and b (128 bits of its key), variant (64 bits of it as stored)."""
     rows = chunks.filter(F.col(text).isNotNull()).select(F.col(chunk_id).cast("bigint"), F.col(source), uuid_key(document_id), F.col(text))
     return spread(rows).mapInArrow(_explode_lines, _LINES)
 
 
+_KEY = ["source", "a", "b", "n_docs", "bucket"]
+
+
+def _containers(bits: DataFrame, keys: list[str]) -> DataFrame:
+    """bits (keys, at; each once) as one container for each key: card, and bits (a sorted array) or bitmap by card."""
+    sized = bits.withColumn("card", F.count("*").over(Window.partitionBy(*keys)))
+    few = sized.filter(F.col("card") < DENSE).groupBy(*keys).agg(F.max("card").alias("card"), F.array_sort(F.collect_list("at")).alias("bits"))
+    many = sized.filter(F.col("card") >= DENSE).groupBy(*keys).agg(F.max("card").alias("card"), F.expr("bitmap_construct_agg(at)").alias("bitmap"))
+    return few.unionByName(many, allowMissingColumns=True)
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """A container for each variant of a line: of lines (source, a, b, n_docs, bucket, variant, at)."""
+    keys = [*_KEY, "variant"]
+    return _containers(lines.select(*keys, "at").distinct(), keys)
+
+
+def united(parts: DataFrame) -> DataFrame:
+    """The containers of all variants of a line united into one: an array where they are arrays of few bits in all, else a bitmap."""
+    whole = Window.partitionBy(*_KEY)
+    sized = parts.withColumns({"most": F.sum("card").over(whole), "maps": F.count("bitmap").over(whole)})
+    small = (F.col("maps") == 0) & (F.col("most") < DENSE)
+    few = sized.filter(small).groupBy(*_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("bits")))).alias("bits")).withColumn("card", F.size("bits").cast("bigint"))
+    lifted = sized.filter(~small & F.col("bits").isNotNull()).select(*_KEY, F.explode("bits").alias("at")).groupBy(*_KEY).agg(F.expr("bitmap_construct_agg(at)").alias("bitmap"))
+    maps = sized.filter(F.col("bitmap").isNotNull()).select(*_KEY, "bitmap").unionByName(lifted).groupBy(*_KEY).agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+    return few.unionByName(maps.withColumn("card", F.expr("bitmap_count(bitmap)")), allowMissingColumns=True)
+
+
 def repeated_lines(
     chunks: DataFrame, chunk_id: str = "chunk_id", document_id: str = "document_id", source: str = "source", text: str = "text", least: int = 4, share: float = 0.1
 ) -> DataFrame:
@@ -88,14 +114,7 @@ def repeated_lines(
     hits = cut(hits)
     numbered = hits.filter(F.col("doc").isNotNull()).alias("h").join(docs.alias("d"), [F.col("h.doc") == F.col("d.doc"), *same("h", "d", "source")]).select("h.*", "d.bit")
     counted = cut(numbered).withColumns({"bucket": F.floor(F.col("bit") / BITS), "at": F.col("bit") % BITS})
-    key = ["source", "a", "b", "n_docs", "bucket"]
-    rare = counted.filter(F.col("n") < DENSE_ROWS).groupBy(*key).agg(F.array_sort(F.collect_set("at")).alias("bits"))
-    rare = rare.select(*key, F.size("bits").cast("bigint").alias("card"), "bits", F.lit(None).cast("binary").alias("bitmap"))
-    # variants of a frequent line (by the chunk they stand in) become bitmaps of their own first, then one
-    part = counted.filter(F.col("n") >= DENSE_ROWS).groupBy(*key, F.pmod(F.xxhash64("chunk_id"), F.lit(16)).alias("variant")).agg(F.expr("bitmap_construct_agg(at)").alias("bitmap"))
-    dense = part.groupBy(*key).agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
-    dense = dense.select(*key, F.expr("bitmap_count(bitmap)").alias("card"), F.lit(None).cast("array<bigint>").alias("bits"), "bitmap")
-    maps = cut(rare.unionByName(dense))
+    maps = cut(united(cut(variants(counted))))
 
     total = maps.groupBy("source", "a", "b", "n_docs").agg(F.sum("card").alias("documents"))
     bad = total.filter((F.col("documents") >= least) & (F.col("documents") / F.col("n_docs") >= share)).select("source", "a", "b")
