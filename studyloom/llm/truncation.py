@@ -23,14 +23,12 @@ from studyloom.plans.lineage import broadcast_if_small, cut, spread
 
 #: A context must have been passed so often to be trusted; shorter ones step in.
 TRUSTED = 8
-#: Share of contexts with ways of ending of their own: inside a text, for a value of a single phrase, on a closed-class word.
-OWN, OWN_ALONE, OWN_FRAME = 0.001, 0.05, 1e-7
+#: Share of contexts with ways of ending of their own: inside a text, for a single phrase or a list item, on a closed-class word.
+OWN, OWN_ALONE, OWN_FRAME = 0.001, 0.3, 1e-7
 #: Items that a phrase has at most, the last of them a word that is not closed-class.
-PHRASE = 8
-#: Field limits below this are not looked for: short values are whole phrases.
-LEAST_LIMIT = 16
-#: Values a source needs for a length fit of its own.
-LEAST_VALUES = 30
+PHRASE = 5
+#: How many words' worth of evidence the average stands for in a word's rate of ending sentences.
+AVERAGE = 2.0
 
 _ITEM = re.compile(r"https?://\S+|[^\W\d_]+(?:-[^\W\d_]+)*'?|\d+|[^\w\s]")
 _MARK = re.compile(r"(?:\s*\[\s*(?:\.{2,}|…)\s*\]|\s*(?:\.{2,}|…))\s*$")
@@ -43,13 +41,15 @@ _CLOSING = "\"'”’»“„«)]}*_ \n"
 _STOPS, _ENDS = ".!?", ".!?;"
 
 
-def items(text: str) -> tuple[list[str], list[str], list[int]]:
-    """The frame of text: closed-class words, '#', 'URL', punctuation and 'X' for a run of other words; its words; and the
-    characters of each item with the blank before it."""
-    out, seen, width = [], [], []
+def items(text: str) -> tuple[list[str], list[str], list[int], list[str]]:
+    """The frame of text: closed-class words, '#', 'URL', punctuation and 'X' for a run of other words; its words; the characters
+    of each item with the blank before it; and the words that stand before the end of a sentence or list item."""
+    out, seen, width, closing = [], [], [], []
+    is_word = False
     for tok in _ITEM.findall(text.replace("’", "'") if "’" in text else text):
         if tok[0].isalpha():
-            if tok.startswith(("http://", "https://")):
+            is_word = not tok.startswith(("http://", "https://"))
+            if not is_word:
                 out.append("URL")
             else:
                 seen.append(tok)
@@ -61,13 +61,17 @@ def items(text: str) -> tuple[list[str], list[str], list[int]]:
                 else:
                     out.append("X")
             width.append(len(tok) + 1)
-        elif tok[0].isnumeric():
+            continue
+        if tok[0].isnumeric():
             out.append("#")
             width.append(len(tok) + 1)
         else:
+            if is_word and tok in _ENDS:
+                closing.append(seen[-1])
             out.append(tok)
             width.append(1)
-    return out, seen, width
+        is_word = False
+    return out, seen, width, closing
 
 
 def contexts(frame: list[str], start: int, end: int) -> list[int]:
@@ -108,11 +112,13 @@ def _way(frame: list[str], start: int, end: int) -> int:
 
 
 def _partial_word(text: str) -> str:
-    m = _LAST_WORD.search(text[-100:]) if text[-1:].isalpha() else None
+    if not text[-1:].isalpha():
+        return ""
+    m = _LAST_WORD.search(text.rsplit(None, 1)[-1])
     return m.group() if m else ""
 
 
-_FOLDED = "row bigint, n_chars int, bare_chars int, folded string"
+_FOLDED = "row bigint, n_chars int, bare_chars int, blank_end boolean, folded string"
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = batch.column(1).to_pylist()
         lengths = [len(x) for x in raw], [len(_MARK.sub("", x.rstrip())) for x in raw]
-        cols = [batch.column(0), *(pa.array(x, pa.int32()) for x in lengths), pa.array([skeleton(x.lower()) for x in raw], pa.string())]
+        cols = [batch.column(0), *(pa.array(x, pa.int32()) for x in lengths), pa.array([x[-1:].isspace() for x in raw]), pa.array([skeleton(x.lower()) for x in raw], pa.string())]
         yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _FOLDED.split(", ")])
 
 
@@ -130,26 +136,29 @@ _SCAN_TYPES = [pa.string(), pa.int64(), *[pa.bool_()] * 3, pa.string(), pa.list_
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over the distinct folded texts: 'tail' rows with the ending of each, 'ctx' rows counting what is passed and how it ends,
-    'word' rows counting the words that aren't last. Sentences of one frame are counted together before they are taken apart."""
+    'word' rows counting the words that aren't last and how many of them end a sentence. Sentences of one frame are counted together before they are taken apart."""
     for batch in batches:
-        rows, words, frames = [], Counter(), {}
-        for row, folded, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows, words, closing, frames = [], Counter(), Counter(), {}
+        for row, folded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             bare, marked, done = ending(folded)
-            frame, seen, width = items(bare)
-            words.update(seen[:-1])
+            frame, seen, width, ends = items(bare)
+            words.update(seen if ends and ends[-1] is seen[-1] else seen[:-1])
+            closing.update(ends)
             start, end = 0, len(frame)
-            times = copies if _way(frame[:-1] if frame[-1:] == ["."] else frame, *next(_sentences(frame), (0, 0, 0))[:2]) == 1 else 1
             for start, end, stop in _sentences(frame):
                 key = ("" if start == 0 else ";" if frame[start - 1] == ";" else ".", stop or done, *frame[start:end])
                 if key in frames:
                     have = frames[key]
-                    have[0] += times
+                    have[0] += 1
                     for k in range(start, end):
-                        have[1 + k - start] += times * width[k]
+                        have[1 + k - start] += width[k]
                 else:
-                    frames[key] = [times, *(times * x for x in width[start:end])]
+                    frames[key] = [1, *width[start:end]]
             tail = ("", []) if done else (_partial_word(bare), contexts(frame, start, end))
-            rows.append(("tail", row, any(map(str.isalnum, bare)), marked, not done, *tail, _way(frame, start, end), None, None, None, None))
+            way = _way(frame, start, end)
+            item = int(way == 1 or start > 0 and frame[start - 1] == ";")
+            way = way or item
+            rows.append(("tail", row, any(map(str.isalnum, bare)), marked, not done, *tail, way, item, None, None, None))
         counts: dict[int, list[int]] = {}
         for (first, stop, *frame), (n, *width) in frames.items():
             pad = 1 if first else 0
@@ -161,33 +170,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if i == len(frame):
                         have[3 if stop else 4] += n
         rows += [("ctx", None, None, None, None, None, [c], *v) for c, v in counts.items()]
-        rows += [("word", None, None, None, None, w, None, None, n, None, None, None) for w, n in words.items()]
+        rows += [("word", None, None, None, None, w, None, None, n, None, closing[w], None) for w, n in words.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 12, _SCAN_TYPES, strict=True)], names=[x.split()[0] for x in _SCAN.split(", ")])
 
 
 def endings(values: DataFrame) -> DataFrame:
-    """values (row, text; row unique): row, n_chars, bare_chars, marked, open (no full stop), goes_on (odds that the text goes
+    """values (row, text; row unique): row, digest (of its look), n_chars, bare_chars, marked, open (no full stop), phrase (a single phrase
+    or a list item at its end), goes_on (odds that the text goes
     on after its last item, from what leads up to it), word_odds (how much likelier the last word is that of a cut text).
 
     Null texts are left out. Texts without any item have odds of 1 and bare_chars 0. Texts that look the same count
-    once; only values of a single short phrase, which recur as words do, count as often as they stand."""
+    once, whatever they are: copies of a cut text are no evidence that it is whole."""
     copies = cut(spread(values.filter(F.col("text").isNotNull()).select("row", "text")).mapInArrow(_fold, _FOLDED))
-    texts = cut(copies.groupBy("folded").agg(F.min("row").alias("row"), F.count("*").alias("n")))
-    scan = cut(spread(texts.select("row", "folded", "n")).mapInArrow(_scan, _SCAN))
+    texts = cut(copies.groupBy("folded").agg(F.min("row").alias("row")))
+    scan = cut(spread(texts.select("row", "folded")).mapInArrow(_scan, _SCAN))
     stats = scan.filter("kind = 'ctx'").groupBy(F.col("ctx")[0].alias("ctx"), "level").agg(*(F.sum(c).alias(c) for c in ("passed", "chars", "stopped", "opened")))
     stats = cut(stats)
-    tails = scan.filter("kind = 'tail'").select("row", "items", "marked", "open", "word", "ctx", F.col("level").alias("alone"))
-    words = cut(scan.filter("kind = 'word'").groupBy("word").agg(F.sum("passed").alias("n")))
+    tails = scan.filter("kind = 'tail'").select("row", "items", "marked", "open", "word", "ctx", F.col("level").alias("alone"), (F.col("passed") == 1).alias("phrase"))
+    words = cut(scan.filter("kind = 'word'").groupBy("word").agg(F.sum("passed").alias("n"), F.sum("stopped").alias("ends")))
 
     # --- the last word
     asked = tails.filter(F.col("word") != "").select("word").distinct()
     longer = words.filter(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n")
     longer = longer.join(asked, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("longer"))
-    # a cut leaves a word for every letter of the longer ones, or lies in the blank behind it; a whole text ends with the word
-    a_word = words.agg((F.sum(F.col("n") * (F.length("word") + 1)) / F.sum("n")).alias("chars")).first()["chars"] or 1.0
-    odds = ((F.coalesce("longer", F.lit(0)) + 2 * F.coalesce("n", F.lit(0)) + 1) / F.lit(float(a_word))) / (F.coalesce("n", F.lit(0)) + 0.5)
-    word_odds = asked.join(words, "word", "left").join(longer, "word", "left").select("word", odds.alias("word_odds"))
-    worded = tails.filter(F.col("word") != "").select("row", "word").join(word_odds, "word").select("row", "word_odds")
+    # a cut leaves a word for every letter of the longer ones, or lies in the blank behind it; a whole text ends with a word that
+    # ends sentences
+    all_ = words.agg((F.sum(F.col("n") * (F.length("word") + 1)) / F.sum("n")).alias("chars"), (F.sum("ends") / F.sum("n")).alias("ending")).first()
+    a_word, ending_ = all_["chars"] or 1.0, max(all_["ending"] or 0.0, 1e-3)
+    known = asked.join(words, "word", "left").join(longer, "word", "left")
+    n_ = F.coalesce("n", F.lit(0))
+    rate = (F.coalesce("ends", F.lit(0)) + AVERAGE * ending_) / (n_ + AVERAGE) / ending_
+    rate = F.when(F.col("phrase"), F.greatest(F.lit(1.0), rate)).otherwise(rate)  # phrases and list items end with any word
+    odds = ((F.coalesce("longer", F.lit(0)) + 2 * n_ + 1) / F.lit(float(a_word))) / ((n_ + 0.5) * rate)
+    odds = F.when(F.col("phrase") & (F.col("ends") > 0), F.least(odds, F.lit(1.0))).otherwise(odds)  # the more so with one that ends others
+    worded = tails.filter(F.col("word") != "").select("row", "word", "phrase").join(known, "word").select("row", odds.alias("word_odds"))
 
     # --- what leads up to the end: the longest trusted context
     each = tails.filter(F.col("open") & (F.size("ctx") > 0)).select("row", "alone", F.posexplode("ctx").alias("level", "ctx"))
@@ -206,11 +222,15 @@ def endings(values: DataFrame) -> DataFrame:
     scored = best.select("row", (is_cut / (1 - is_cut)).alias("goes_on"))
     out = tails.join(worded, "row", "left").join(scored, "row", "left")
     one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
+    # a blank at the end: a cut lies behind one once a word, a text with a full stop hardly ever has one
+    whole = copies.join(out.filter(~F.col("open")).select(F.col("row").alias("whole_row")), F.col("row") == F.col("whole_row")).agg(F.avg(F.col("blank_end").cast("double")).alias("p")).first()["p"]
+    after_blank = (1 / float(a_word)) / max(whole or 0.0, 1e-3)
     # back to every value, by a digest of the text it shares
     digest = F.md5("folded").alias("digest")
-    out = out.join(texts.select("row", digest), "row").select("digest", "items", "marked", "open", one("word_odds"), one("goes_on"))
+    out = out.join(texts.select("row", digest), "row").select("digest", "items", "marked", "open", "phrase", one("word_odds"), one("goes_on"))
     bare = F.when(F.col("items"), F.col("bare_chars")).otherwise(0).alias("bare_chars")
-    return copies.select("row", "n_chars", "bare_chars", digest).join(out, "digest").select("row", "n_chars", bare, "marked", "open", "word_odds", "goes_on")
+    blank = F.when(F.col("blank_end") & F.col("open") & ~F.col("marked"), F.col("word_odds") * max(1.0, after_blank)).otherwise(F.col("word_odds")).alias("word_odds")
+    return copies.select("row", "n_chars", "bare_chars", "blank_end", digest).join(out, "digest").select("row", "digest", "n_chars", bare, "marked", "open", "phrase", blank, "goes_on")
 
 
 def _rates(stats: DataFrame) -> tuple[float, float]:
@@ -270,17 +290,16 @@ def _around(lengths: np.ndarray, counts: np.ndarray, reach: int = 8) -> np.ndarr
 
 def _censoring(table: pa.Table) -> pa.Table:
     field, source = table.column("field_name")[0].as_py(), table.column("source")[0].as_py()
-    length, n = table.column("length").to_numpy().astype(int), table.column("n").to_numpy().astype(int)
+    length, n, opened = (table.column(c).to_numpy().astype(int) for c in ("length", "n", "n_open"))
     order = np.argsort(length)
-    length, n = length[order], n[order]
-    total, post = n.sum(), np.zeros(len(length))
-    if total >= LEAST_VALUES:
-        mean, sd = censored_fit(length, n, np.array([]))
-        expect = np.maximum(total * _density(length, mean, sd), _around(length, n))
-        limits = length[(length >= LEAST_LIMIT) & (n >= 3) & (n > expect + 4 * np.sqrt(expect + 0.25))]
-        mean, sd = censored_fit(length, n, limits)
-        expect = np.maximum(total * _density(length, mean, sd), _around(length, n))
-        post = np.where(np.isin(length, limits), np.clip(1 - expect / n, 0, 0.99), 0.0)
+    length, n, opened = length[order], n[order], opened[order]
+    total = n.sum()
+    mean, sd = censored_fit(length, n, np.array([]))
+    expect = np.maximum(total * _density(length, mean, sd), _around(length, n))
+    limits = length[(opened >= 3) & (n > expect + 4 * np.sqrt(expect + 0.25))]  # a limit leaves open ends
+    mean, sd = censored_fit(length, n, limits)
+    expect = np.maximum(total * _density(length, mean, sd), _around(length, n))
+    post = np.where(np.isin(length, limits), np.clip(1 - expect / n, 0, 0.99), 0.0)
     keep = post > 0
     return pa.table({"field_name": pa.array([field] * int(keep.sum()), pa.string()), "source": pa.array([source] * int(keep.sum()), pa.string()), "length": pa.array(length[keep], pa.int32()), "censored": post[keep]})
 
@@ -290,25 +309,36 @@ def truncated(values: DataFrame, cutoff: float = 0.5) -> DataFrame:
     limit_posterior, posterior, is_truncated, one row per value.
 
     Null and blank texts: never truncated, posterior 0. A text with a full stop at its end is whole. Texts of any length are
-    read whole; texts that look the same count once for the word and ending statistics (single short phrases each time), but every value gets its row. Sources with
-    few values have no length fit and are judged by the ending. Null source: a source of its own. Other columns aren't read."""
+    read whole; texts that look the same count once for the word and ending statistics, but every value gets its row. Null source: a source of its own. Other columns aren't read."""
     base = cut(values.select("field_name", F.col("record_key").cast("string").alias("record_key"), "source", "text", F.xxhash64("field_name", "record_key").alias("row")))
     ends = cut(endings(base.filter(F.col("text").isNotNull())))
     lens = base.select("field_name", "source", "record_key", "row").join(ends, "row", "left")
-    histogram = lens.filter(F.col("n_chars") > 0).select("field_name", "source", F.explode(F.array_distinct(F.array("n_chars", "bare_chars"))).alias("length"))
-    limits = cut(histogram.groupBy("field_name", "source", "length").agg(F.count("*").alias("n")).groupBy("field_name", "source").applyInArrow(_censoring, "field_name string, source string, length int, censored double"))
+    histogram = lens.filter(F.col("n_chars") > 0).select("field_name", "source", "digest", F.explode(F.array_distinct(F.array("n_chars", "bare_chars"))).alias("length"), (F.col("open") & ~F.col("phrase")).alias("open")).distinct()
+    limits = cut(histogram.groupBy("field_name", "source", "length").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open")).groupBy("field_name", "source").applyInArrow(_censoring, "field_name string, source string, length int, censored double"))
     few = broadcast_if_small(limits, limits.count(), 200)
     v, a, b = lens.alias("v"), few.alias("a"), few.alias("b")
     at = lambda side, col: (F.col("v.field_name") == F.col(f"{side}.field_name")) & F.col("v.source").eqNullSafe(F.col(f"{side}.source")) & (F.col(f"v.{col}") == F.col(f"{side}.length"))
     both = v.join(a, at("a", "n_chars"), "left").join(b, at("b", "bare_chars"), "left")
-    cens = F.coalesce(F.greatest("a.censored", "b.censored"), F.lit(0.0))
-    both = both.select("v.*", cens.alias("limit_posterior"))
+    cens = F.when(F.col("v.open") & ~F.col("v.phrase"), F.coalesce(F.greatest("a.censored", "b.censored"), F.lit(0.0))).otherwise(0.0)
+    both = cut(both.select("v.*", cens.alias("limit_posterior"), F.when(F.col("a.censored") >= F.coalesce("b.censored", F.lit(0.0)), F.col("n_chars")).otherwise(F.col("bare_chars")).alias("limit")))
     # a value at a limit: the odds of being censored there stand in for the odds of any other value (1 where unknown)
     lift = F.greatest(F.lit(1.0), 1 + F.col("limit_posterior") / (1 - F.col("limit_posterior")))
     odds = F.col("goes_on") * F.col("word_odds") * lift
     blank = F.col("n_chars").isNull() | (F.col("bare_chars") == 0)
-    posterior = F.when(blank | ~F.col("open"), 0.0).otherwise(odds / (1 + odds))
-    return both.select("field_name", "record_key", "source", F.col("n_chars").alias("length"), "limit_posterior", posterior.alias("posterior"), (posterior >= cutoff).alias("is_truncated"))
+    alone = both.withColumn("alone", F.when(blank | ~F.col("open"), 0.0).otherwise(odds / (1 + odds)))
+    # the open values at one limit are judged together: their share of cut ones against that of all open values is evidence on each
+    of = F.col("alone") > 0
+    usual = alone.filter(of).agg(F.avg("alone").alias("p")).first()["p"] or 0.5
+    usual = min(max(usual, 0.01), 0.99)
+    at_limit = alone.filter(of & (F.col("limit_posterior") > 0)).groupBy("field_name", "source", "limit").agg(((F.sum("alone") + usual) / (F.count("*") + 1)).alias("share"))
+    at_limit = cut(at_limit)
+    at_limit = broadcast_if_small(at_limit, at_limit.count(), 200).alias("l")
+    v = alone.alias("v")
+    joined = v.join(at_limit, (F.col("v.field_name") == F.col("l.field_name")) & F.col("v.source").eqNullSafe(F.col("l.source")) & (F.col("v.limit") == F.col("l.limit")) & (F.col("v.limit_posterior") > 0), "left")
+    together = F.coalesce(F.col("l.share") / (1 - F.col("l.share")) / (usual / (1 - usual)), F.lit(1.0))
+    final = F.col("v.alone") / (1 - F.col("v.alone")) * together
+    posterior = F.when(F.col("v.alone") == 0, 0.0).otherwise(final / (1 + final))
+    return joined.select("v.field_name", "v.record_key", "v.source", F.col("v.n_chars").alias("length"), "v.limit_posterior", posterior.alias("posterior"), (posterior >= cutoff).alias("is_truncated"))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:

@@ -70,7 +70,9 @@ def test_endings_of_text():
     assert ending("it ends here.") == ("it ends here.", False, True)
     assert ending("it ends her [...]") == ("it ends her", True, False)
     assert ending("and so on ...")[2] and ending('he said "yes."')[2] and not ending("as in [5]")[2]
-    assert items("the old town, 12 l'eau https://a.example/b")[0] == ["the", "X", ",", "#", "l", "X", "URL"]
+    frame, words, width, closing = items("the old town, 12 l'eau https://a.example/b")
+    assert frame == ["the", "X", ",", "#", "l", "X", "URL"] and words == ["the", "old", "town", "l'", "eau"] and len(width) == 7 and not closing
+    assert items("one. two (5). three; four")[3] == ["one", "three"]
 
 
 def test_copies_of_a_cut_text_are_cut(spark):
@@ -81,3 +83,29 @@ def test_copies_of_a_cut_text_are_cut(spark):
     out = {r.record_key: r for r in truncated(spark.createDataFrame([*rows, *copies], SCHEMA)).collect()}
     assert len(out) == len(rows) + 50
     assert all(out[f"c{i}"].is_truncated for i in range(50))
+
+
+def test_limits_of_a_source_are_judged_together(spark):
+    """Values cut at a limit after a whole word say little by their ending; the limit says the rest. Without the length fit the
+    same values stay below the cutoff."""
+    r = random.Random(9)
+    rows, _ = corpus(3000)
+    rows = [x for x in rows if not x[3].endswith(NOUNS[0])]
+    cut = []
+    for i in range(400):
+        t = " ".join(sentence(r) for _ in range(5))[:120]
+        if t[-1].isalpha():
+            cut.append(("f", f"limit{i}", "limited", t, 1, 0.0))
+    free = [("f", f"free{i}", "limited", " ".join(sentence(r) for _ in range(r.randint(1, 5))), 1, 0.0) for i in range(900)]
+    out = {x.record_key: x for x in truncated(spark.createDataFrame([*rows, *cut, *free], SCHEMA)).collect()}
+    at = [out[c[1]] for c in cut]
+    assert all(x.limit_posterior > 0.5 for x in at)
+    assert sum(x.is_truncated for x in at) >= 0.97 * len(at)
+    assert all(not out[f[1]].is_truncated for f in free)
+
+
+def test_a_cut_value_with_a_blank_at_its_end(spark):
+    rows, _ = corpus()
+    ends = ["In the north tree rings rose by ", "In the north tree rings rose by 12 percent once loan words had settled. "]
+    out = {r.record_key: r for r in truncated(spark.createDataFrame([*rows, *[("f", f"b{i}", "s", t, 1, 0.0) for i, t in enumerate(ends)]], SCHEMA)).collect()}
+    assert out["b0"].is_truncated and not out["b1"].is_truncated
