@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studyloom.plans.lineage import cut
+
 #: Characters of a chunk, and of the words repeated at the start of the next.
 MAX_CHARS, OVERLAP_CHARS = 1000, 150
 
@@ -70,11 +72,12 @@ def chunk_pages(pages: DataFrame, document: str, page: str, text: str, most: int
         return s.map(lambda t: page_chunks(t, most, overlap))
 
     parts = pages.select(F.col(document).alias("document"), F.col(page).alias("page"), cut_page(F.col(text)).alias("parts")).filter(F.size("parts") > 0)
-    before = F.coalesce(F.sum(F.size("parts")).over(Window.partitionBy("document").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = parts.withColumn("first", before)
-    return numbered.select("document", "page", "first", F.posexplode("parts").alias("position", "chunk_text")).select(
-        "document", "page", "position", (F.col("first") + F.col("position")).cast("int").alias("chunk_index"), "chunk_text"
-    )
+    parts = cut(parts.select("document", "page", F.posexplode("parts").alias("position", "chunk_text")).withColumn("row", F.monotonically_increasing_id() - F.col("position")))
+    # only the counts go through the window: a row a page, whatever its text
+    counts = parts.groupBy("document", "page", "row").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("document").orderBy("page", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.withColumn("first", before).select("row", "first")
+    return parts.join(first, "row").select("document", "page", "position", (F.col("first") + F.col("position")).cast("int").alias("chunk_index"), "chunk_text")
 
 
 def chunk_words(texts: DataFrame, document: str, text: str, most: int, overlap: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -41,15 +42,23 @@ def _range_of(bounds: np.ndarray):
     return place
 
 
+def _fixed(keys: pa.ChunkedArray) -> np.ndarray:
+    """Keys as 16 bytes each: the UUID value, or 128 bits of hash with a mark for what is no UUID, however long it is."""
+    raw = [bytes.fromhex(k) if k[0] != "!" else b"!" + hashlib.blake2b(k.encode(), digest_size=16).digest() for k in keys.to_pylist()]
+    return np.array(raw, dtype="S17")
+
+
 def _probe(key: tuple, refs: pa.Table, parents: pa.Table) -> pa.Table:
     n = refs.num_rows
     found, active, earliest = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
-    asked = np.array(refs.column("parent_key").to_pylist(), dtype=object).astype("U")
+    asked = _fixed(refs.column("parent_key"))
     own = refs.column("own_time").cast(pa.int64())
     times, timed = own.fill_null(0).to_numpy(), ~own.is_null().to_numpy()
     if parents.num_rows and n:
         held = parents.column("held").combine_chunks().flatten()
-        keys = np.array(held.field("parent_key").to_pylist(), dtype=object).astype("U")
+        keys = _fixed(pa.chunked_array([held.field("parent_key")]))
+        order = np.argsort(keys, kind="stable")  # sorted already but for keys that are no UUIDs
+        keys, held = keys[order], held.take(pa.array(order))
         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         found = keys[at] == asked
         active = np.asarray(held.field("active").to_numpy(zero_copy_only=False), bool)[at]

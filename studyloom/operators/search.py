@@ -24,6 +24,21 @@ def vector_report(vectors: DataFrame, vec: str, by: str) -> DataFrame:
     )
 
 
+def check_vectors(entries: DataFrame, vec: str, dimension: int | None = None) -> int | None:
+    """The dimension of a whole batch of vectors; ValueError if any is null, empty or zero, or if the dimensions differ from one
+    another or from the given one. An empty batch is in order and has none."""
+    r = entries.agg(
+        F.count("*").alias("n"), F.count_if(F.col(vec).isNull() | (F.size(vec) == 0) | ~F.exists(vec, lambda x: x != 0)).alias("bad"), F.min(F.size(vec)).alias("low"), F.max(F.size(vec)).alias("high")
+    ).first()
+    if not r["n"]:
+        return None
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} of {r['n']} vectors are null, empty or zero")
+    if r["low"] != r["high"] or dimension not in (None, r["low"]):
+        raise ValueError(f"vectors need one dimension, but have {r['low']} to {r['high']}, stored ones {dimension}")
+    return r["low"]
+
+
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     n = max(1, -(-rows.count() // size))
     return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "tag", "vec")).alias(name))
@@ -38,7 +53,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
     """query_id, rank (from 1), id, score: the k vectors of highest cosine with each query, ties to the lower id.
 
     queries has the columns of vectors and is a stated set. With tag only vectors of the query's tag are searched. Null, empty,
-    zero vectors and vectors of another dimension than most take no part. Scores are rounded to `digits` before ranking.
+    zero vectors and vectors of another dimension than most take no part (append_vectors refuses them earlier). Scores are ranked as
+    they are and rounded to `digits` in the result.
     Every pair of blocks is one row of work and leaves at most k rows a query."""
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -54,7 +70,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
             for held, asked in zip(batch.column(0), batch.column(1), strict=True):
                 ids, m, tags = _unit(held.as_py())
                 q_ids, q, q_tags = _unit(asked.as_py())
-                scores = np.round(q @ m.T, digits)
+                scores = q @ m.T
                 if tag:
                     scores[np.array(q_tags, dtype=object)[:, None] != np.array(tags, dtype=object)[None, :]] = -np.inf
                 for i, row in enumerate(scores):
@@ -64,4 +80,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
 
     found = pairs.select("held", "asked").mapInArrow(search, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", digits).alias("score"))

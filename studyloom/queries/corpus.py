@@ -28,8 +28,10 @@ def doc_hash_dedupe(spark: SparkSession, at: str) -> DataFrame:
 
 
 def import_summary(spark: SparkSession, at: str) -> DataFrame:
-    docs = doc_hash_dedupe(spark, at).join(_read(spark, at, "documents").select("doc_id", "source"), "doc_id")
-    return docs.groupBy("source").agg(F.count_if(F.col("status") == "added").alias("n_added"), F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.count("*").alias("n_documents"))
+    """Per source what an import makes of its documents: blank ones fail, copies of others are skipped."""
+    docs = doc_hash_dedupe(spark, at).join(_read(spark, at, "documents").select("doc_id", "source", "text"), "doc_id")
+    status = F.when(collapse("text") == "", "failed").otherwise(F.col("status"))
+    return docs.withColumn("status", status).groupBy("source").agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("added", "skipped", "failed")), F.count("*").alias("n_documents"))
 
 
 def page_split(spark: SparkSession, at: str) -> DataFrame:
@@ -38,7 +40,9 @@ def page_split(spark: SparkSession, at: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, at: str) -> DataFrame:
-    chunks = chunk_pages(_read(spark, at, "documents").withColumn("page", F.lit(1)), "doc_id", "page", "text")
+    """The chunks of every document, each of whose lines is a page, numbered over the pages."""
+    pages = split_pages(_read(spark, at, "documents"), "doc_id", "text", "\n")
+    chunks = chunk_pages(pages, "document", "page", "page_text")
     return chunks.select(F.col("document").alias("doc_id"), "page", "chunk_index", F.length("chunk_text").alias("n_chars"), F.md5("chunk_text").alias("chunk_md5"))
 
 
@@ -126,7 +130,7 @@ chunk as (
 ORACLES = {
     "text_normalise": f"select doc_id, length({_TIDY}) as n_chars, md5({_TIDY}) as text_md5, length({_COLLAPSE}) as n_collapsed from documents",
     "doc_hash_dedupe": _DEDUPE,
-    "import_summary": f"select d.source, count(*) filter (status = 'added') as n_added, count(*) filter (status = 'skipped') as n_skipped, count(*) as n_documents from ({_DEDUPE}) x join documents d using (doc_id) group by 1",
+    "import_summary": f"with d as (select d.source, case when {_COLLAPSE.replace('(text', '(d.text')} = '' then 'failed' else status end as status from ({_DEDUPE}) x join documents d using (doc_id)) select source, count(*) filter (status = 'added') as n_added, count(*) filter (status = 'skipped') as n_skipped, count(*) filter (status = 'failed') as n_failed, count(*) as n_documents from d group by 1",
     "page_split": "select doc_id, generate_subscripts(parts, 1)::int as page, length(unnest(parts)) as n_chars, md5(unnest(parts)) as page_md5 from (select doc_id, string_split(text, chr(10) || chr(10)) as parts from documents where text is not null)",
     "chunk_words_200": f"{_CHUNKS} select doc_id, chunk_index, length(t) as n_chars, md5(t) as chunk_md5 from chunk",
     "chunk_stats": f"{_CHUNKS} select source, count(*) as n_chunks, max(length(t)) as most_chars, sum(length(t))::bigint as n_chars, count(distinct doc_id) as n_documents from chunk join documents using (doc_id) group by 1",

@@ -101,9 +101,8 @@ def progress_by_bank(spark: SparkSession, at: str) -> DataFrame:
 
 
 def concepts_missed(spark: SparkSession, at: str) -> DataFrame:
-    """The hundred concepts named most often."""
-    top = difficult_concepts(_attempts(spark, at)).orderBy(F.desc("n_missing"), "folded", "concept").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_missing"), "folded", "concept"))).select("place", "concept", "n_missing")
+    """Every concept that was missing, with how often over all banks."""
+    return difficult_concepts(_attempts(spark, at)).select("concept", "folded", "n_missing")
 
 
 def concepts_missed_by_bank(spark: SparkSession, at: str) -> DataFrame:
@@ -318,7 +317,7 @@ ORACLES = {
         coalesce(sum(c), 0)::bigint as n_correct, coalesce(sum(u), 0)::bigint as n_unclassified, count(*) filter (due_at is null or due_at <= {_AS_OF}) as n_due, min(coalesce(due_at, {_AS_OF})) as nd, max(l) as ls from j group by 1, 2)
       select document_id, question_bank_identity_fingerprint, n_questions, n_answered, n_attempts, n_incorrect, n_partially_correct, n_correct, n_unclassified, n_due, {_STAMP.format(c='nd')} as next_due_at, {_STAMP.format(c='ls')} as last_studied_at,
         n_answered / n_questions as answered_rate, case when n_attempts = 0 then 0.0 else n_correct / n_attempts end as correct_rate from g""",
-    "concepts_missed": f"with {_ATT}, m as (select unnest(evaluation.missing_concepts) as concept from a), c as (select concept, count(*) as n_missing from m group by 1) select (row_number() over (order by n_missing desc, {_FOLDED.format(c='concept')}, concept))::int as place, concept, n_missing from c qualify place <= 100",
+    "concepts_missed": f"with {_ATT}, m as (select unnest(evaluation.missing_concepts) as concept from a) select concept, {_FOLDED.format(c='concept')} as folded, count(*) as n_missing from m group by all",
     "concepts_missed_by_bank": f"with {_ATT}, m as (select document_id, question_bank_identity_fingerprint, unnest(evaluation.missing_concepts) as concept from a), c as (select document_id, question_bank_identity_fingerprint, concept, count(*) as n_missing from m group by all) select document_id, question_bank_identity_fingerprint, (row_number() over (partition by document_id, question_bank_identity_fingerprint order by n_missing desc, {_FOLDED.format(c='concept')}, concept))::int as place, concept, n_missing from c",
     "citation_resolve": f"""with c as (select {_DOC} as document, chunk_index, chunk_id, text from chunks where document_id is not null qualify row_number() over (partition by document, chunk_index order by chunk_id) = 1),
       s as (select summary_id, {_DOC} as document, unnest(citations) as x, generate_subscripts(citations, 1) as place from document_summaries)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from studyloom.operators.citations import exploded, is_subset, is_unique, numbers_within, resolve
 from studyloom.operators.evaluate import citation_match, has_concept, micro_average
-from studyloom.operators.generation import accept_batches, first_sentences, generate, map_batches, misses, reduce_batches
 from studyloom.sources.pages import read_binary_pages, read_cases, read_text_pages, skip_known
 
 
@@ -29,31 +28,6 @@ def test_array_predicates_and_resolution(spark):
     assert got == {(1, 5): 50, (2, 6): None}
 
 
-def test_map_reduce_with_a_scripted_provider(spark):
-    rows = [("d", 0, "AAAAAA"), ("d", 1, "BBBBBB"), ("d", 2, "CCCC"), ("e", 0, "fails"), ("f", 0, "wrong")]
-    batches = map_batches(spark.createDataFrame(rows, "doc string, i int, t string"), "doc", "i", "t", 10)
-
-    def make():
-        import re
-
-        def provider(prompt):
-            if "fails" in prompt:
-                raise RuntimeError("no model")
-            numbers = [int(n) for n in re.findall(r"\[(\d+)\]", prompt)]
-            return "on " + ",".join(map(str, numbers)), [99] if "wrong" in prompt else numbers
-
-        return provider
-
-    done = accept_batches(generate(batches, "prompt", make))
-    got = {(r.document, r.batch_number): (r.is_valid, r.problem) for r in done.collect()}
-    assert got == {("d", 1): (True, None), ("d", 2): (True, None), ("e", 1): (False, "RuntimeError: no model"), ("f", 1): (False, None)}
-    s = reduce_batches(done).collect()
-    assert [(r.document, r.n_batches, r.summary, r.citation_numbers) for r in s] == [("d", 2, "on 1\n\non 2,3", [1, 2, 3])]
-    assert misses(batches, batches.filter("document = 'd'"), ["document"]).select("document").distinct().count() == 2
-    one = spark.createDataFrame([("One. Two! Three",), ("none",), ("",)], "t string").select(first_sentences(F.col("t"), 2).alias("x")).collect()
-    assert [r.x for r in one] == ["One. Two!", "none", ""]
-
-
 def test_page_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("first \n<<>>\n second\r\n\n<<>>", encoding="utf-8")
     got = {(r.source, r.page_number): r.text for r in read_text_pages(spark, str(tmp_path), "<<>>", "*.txt").collect()}
