@@ -1,6 +1,12 @@
 import random
 
-from studyloom.llm.mixing import mix, shares
+from itertools import combinations
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from studyloom.llm.mixing import fill_up, mix, newton, shares
 
 SCHEMA = "doc_id bigint, text string, source string, rate double, cap int, mix_id int"
 
@@ -22,7 +28,7 @@ def test_shares_meet_targets_within_caps(spark):
     assert len(got) == 7
     for (m, s), r in got.items():
         if m < 3:
-            assert abs(r.actual_share - r.target_share) < 0.01, (m, s, r.actual_share)
+            assert abs(r.actual_share - r.target_share) < 0.002, (m, s, r.actual_share)
     assert got[3, "gone"].actual_share == 0.0 and got[3, "b"].actual_share == 1.0
     # as large as the caps allow: some source is used up
     for m in (1, 2):
@@ -34,3 +40,22 @@ def test_empty_tables(spark):
     assert mix(docs.limit(0), targets).count() == 0
     assert mix(docs, targets.limit(0)).count() == 0
     assert {r.actual_share for r in shares(mix(docs.limit(0), targets), targets).collect()} == {0.0}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=8), st.floats(0, 120))
+def test_fill_up_comes_as_near_as_any_choice(tokens, missing):
+    taken = fill_up(tokens, missing)
+    assert len(set(taken)) == len(taken)
+    best = min(abs(missing - sum(c)) for k in range(len(tokens) + 1) for c in combinations(tokens, k))
+    assert abs(missing - sum(tokens[k] for k in taken)) <= best + 1
+
+
+def test_newton_meets_the_target():
+    r = np.random.default_rng(1)
+    tokens, n = np.arange(1.0, 400.0), r.integers(0, 50, 399).astype(float)
+    total, mean = float((tokens * n).sum()), float((tokens * n).sum() / n.sum())
+    for cap, share in ((1, 0.01), (1, 0.5), (3, 0.9), (3, 2.5), (8, 7.9)):
+        lam = newton(tokens, n, share * total, cap, mean)
+        got = float((n * tokens * np.minimum(cap, np.exp(lam * tokens / mean))).sum())
+        assert abs(got - share * total) < 1e-6 * total
