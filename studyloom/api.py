@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from studyloom.functions.embed import Embedder, hashed_words, with_embedding
 from studyloom.operators.answers import evaluate_answers, record_answers, record_review
 from studyloom.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_pages
-from studyloom.operators.generation import TEXT, Provider, generate, is_cited_text, misses
+from studyloom.operators.generation import Provider, misses
 from studyloom.operators.progress import progress_report
 from studyloom.operators.questions import draft_banks, trusted
 from studyloom.operators.review import due
-from studyloom.operators.search import check_vectors, top_k
+from studyloom.operators.search import NOTHING_FOUND, check_vectors, ground, top_k
 from studyloom.operators.store import Snapshots, replace_by_key, without
 from studyloom.operators.summaries import summarize
 from studyloom.plans.lineage import cut
 
+__all__ = ["NOTHING_FOUND", "Library"]
 _CITED = "struct<number: int, source: string, page_number: int, chunk_index: int, excerpt: string>"
 _TABLES = {
     "documents": "document_id string, source string, content_sha256 string, page_count bigint, chunk_count bigint",
@@ -29,8 +30,6 @@ _TABLES = {
     "attempts": "id string, document_id string, identity string, question_number int, rating string, answered_at timestamp, verdict string, missing_concepts array<string>",
     "progress": "document_id string, identity string, question_number int, repetition_count int, interval_days int, ease_factor double, due_at timestamp, last_reviewed_at timestamp",
 }
-#: The answer to a query without hits, for which no model is asked.
-NOTHING_FOUND = "No stored passage answers this question."
 _QUESTION = ["document_id", "identity", "question_number"]
 
 
@@ -105,19 +104,8 @@ class Library:
         """Grounded answers: the hits as numbered contexts, the provider's answer, and the stored chunks it cites.
 
         A query without hits gets a fixed answer: no model is asked. An answer that cites a context it wasn't given has is_valid false."""
-        hits = cut(self.search(queries, k))
-        line = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("text"))
-        prompts = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), "chunk_id"))).alias("h"))
-        prompts = prompts.join(queries.select("query_id", F.col("text").alias("question")), "query_id").select(
-            "query_id", F.concat(F.array_join(F.transform("h", lambda x: x["line"]), "\n\n"), F.lit("\n\nQuestion: "), "question").alias("prompt"), F.transform("h", lambda x: x["chunk_id"]).alias("chunk_ids")
-        )
-        done = generate(prompts, "prompt", make_provider, TEXT, is_cited_text, "answer")
-        numbers = F.col("answer.citation_numbers")
-        valid = F.coalesce(F.col("problem").isNull() & F.forall(numbers, lambda n: n <= F.size("chunk_ids")), F.lit(False))
-        cited = F.when(valid, F.transform(numbers, lambda n: F.element_at("chunk_ids", n.cast("int"))))
-        found = done.select("query_id", F.col("answer.text").alias("answer"), valid.alias("is_valid"), cited.alias("cited_chunk_ids"), "problem", "prompt_names")
-        none = queries.select("query_id").distinct().join(found.select("query_id"), "query_id", "left_anti")
-        return found.unionByName(none.select("query_id", F.lit(NOTHING_FOUND).alias("answer"), F.lit(True).alias("is_valid"), F.array().cast("array<bigint>").alias("cited_chunk_ids"), F.lit(None).cast("string").alias("problem"), F.array().cast("array<string>").alias("prompt_names")))
+        hits = cut(self.search(queries, k).withColumnRenamed("chunk_id", "id"))
+        return ground(hits, queries.select("query_id", F.col("text").alias("question")), "text", make_provider).withColumnRenamed("cited_ids", "cited_chunk_ids")
 
     def citations(self, answers: DataFrame) -> DataFrame:
         """The citations of answers (query_id, cited_chunk_ids): query_id, number and the stored chunk with its whole text as excerpt."""

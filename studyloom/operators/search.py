@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from studyloom.operators.generation import TEXT, Provider, generate, is_cited_text
+
+#: The answer to a query without hits.
+NOTHING_FOUND = "No stored passage answers this question."
 #: Vectors and queries of one block.
 VECTORS_A_BLOCK, QUERIES_A_BLOCK = 4096, 512
 
@@ -81,3 +85,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
     found = pairs.select("held", "asked").mapInArrow(search, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", digits).alias("score"))
+
+
+def ground(hits: DataFrame, queries: DataFrame, text: str, make_provider: Callable[[], Provider]) -> DataFrame:
+    """Grounded answers: hits (query_id, rank, id and a text) as numbered contexts, the provider's answer, and the ids it cites.
+
+    Result: query_id, answer, is_valid (the answer cites contexts that it was given), cited_ids, problem, prompt_names. A query (query_id,
+    question) without hits gets a fixed answer: no model is asked."""
+    line = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col(text))
+    prompts = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), "id"))).alias("h"))
+    prompts = prompts.join(queries.select("query_id", "question"), "query_id").select(
+        "query_id", F.concat(F.array_join(F.transform("h", lambda x: x["line"]), "\n\n"), F.lit("\n\nQuestion: "), F.coalesce("question", F.lit(""))).alias("prompt"), F.transform("h", lambda x: x["id"]).alias("ids")
+    )
+    done = generate(prompts, "prompt", make_provider, TEXT, is_cited_text, "answer")
+    numbers = F.col("answer.citation_numbers")
+    valid = F.coalesce(F.col("problem").isNull() & F.forall(numbers, lambda n: n <= F.size("ids")), F.lit(False))
+    cited = F.when(valid, F.transform(numbers, lambda n: F.element_at("ids", n.cast("int"))))
+    found = done.select("query_id", F.col("answer.text").alias("answer"), valid.alias("is_valid"), cited.alias("cited_ids"), "problem", "prompt_names")
+    none = queries.select("query_id").distinct().join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    fixed = [F.lit(NOTHING_FOUND).alias("answer"), F.lit(True).alias("is_valid"), F.array().cast("array<bigint>").alias("cited_ids"), F.lit(None).cast("string").alias("problem"), F.array().cast("array<string>").alias("prompt_names")]
+    return found.unionByName(none.select("query_id", *fixed))

@@ -11,10 +11,12 @@ from studyloom.functions.providers import OUTLINE, drafting, marking, outlining
 from studyloom.operators.answers import evaluate_answers, record_answers
 from studyloom.operators.generation import first_sentences, map_batches
 from studyloom.operators.questions import draft_banks, trusted
+from studyloom.operators.search import ground
 from studyloom.operators.summaries import map_step, resume, summarize
 from studyloom.plans.lineage import cut
 from studyloom.queries.corpus import _LIBRARY, _WS, BUDGET, _library_chunks
 from studyloom.queries.learning import _ATT, _FOLD, _TOP, QUESTION, _attempts, _hits, _Q, _read
+from studyloom.sources.reports import nested_as_json, nested_from_json
 
 #: Questions of a drafted bank, and of one batch.
 QUESTIONS, BATCH = 5, 2
@@ -28,6 +30,21 @@ def grounded_answer(spark: SparkSession, at: str) -> DataFrame:
     return rows.select("query_id", "best_score", F.array_join(F.transform("h", line), "; ").alias("contexts"), F.array_join(F.transform("h", lambda x: x["id"].cast("string")), ",").alias("cited_ids"))
 
 
+def grounded_answers(spark: SparkSession, at: str) -> DataFrame:
+    """Each query vector's answer by the provider from its hits (their labels), with the vectors it cites."""
+    labels = _read(spark, at, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), "label").alias("text"))
+    queries = _read(spark, at, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what is "), "vec_id").alias("question"))
+    out = ground(_hits(spark, at).join(labels, "id"), queries, "text", outlining)
+    return out.select("query_id", "answer", "is_valid", F.array_join("cited_ids", ",").alias("cited_ids"), F.array_join("prompt_names", ",").alias("prompts"))
+
+
+def citations_as_json(spark: SparkSession, at: str) -> DataFrame:
+    """Every summary's citations written as JSON text and read back."""
+    s = _read(spark, at, "document_summaries").select("summary_id", "citations", "prompt_references")
+    back = nested_from_json(nested_as_json(s), s.schema)
+    return back.select("summary_id", F.size("citations").alias("n_citations"), F.md5(F.array_join(F.transform("citations", lambda c: F.concat_ws("|", c["number"], c["source"], c["page_number"], c["chunk_index"], c["excerpt"])), ";")).alias("citations_md5"), F.size("prompt_references").alias("n_prompts"))
+
+
 def summary_batches(spark: SparkSession, at: str) -> DataFrame:
     """The map prompts of every document of the library, by size and hash."""
     b = map_batches(_library_chunks(spark, at), "document", "chunk_index", "text", BUDGET)
@@ -94,7 +111,7 @@ def answers_parsed(spark: SparkSession, at: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (grounded_answer, summary_batches, summaries_reduced, summaries_resumed, summary_first_sentences, question_banks_drafted, answers_evaluated, answers_recorded, answers_parsed)
+    for f in (grounded_answer, grounded_answers, citations_as_json, summary_batches, summaries_reduced, summaries_resumed, summary_first_sentences, question_banks_drafted, answers_evaluated, answers_recorded, answers_parsed)
 }
 
 _BATCHED = f"""{_LIBRARY},
@@ -108,6 +125,9 @@ _EVALUATED = f"""a as (select * replace (case {_MARK} when 'correct' then 'good'
   (select * from study_attempts qualify row_number() over (partition by id order by received_at desc) = 1) where not ({_BLANK}))"""
 ORACLES = {
     "grounded_answer": _TOP.format(where="") + "select query_id, max(score) as best_score, string_agg('[' || rank || '] label ' || label, '; ' order by rank) as contexts, string_agg(vec_id::varchar, ',' order by rank) as cited_ids from t group by 1",
+    "grounded_answers": _TOP.format(where="").rstrip() + f""", a as (select query_id, string_agg('[' || rank || '] label ' || label, chr(10) || chr(10) order by rank) || chr(10) || chr(10) || 'Question: what is ' || query_id as p, min_by(vec_id, rank) as first from t group by query_id)
+      select query_id, left(p, {OUTLINE}) as answer, true as is_valid, first::varchar as cited_ids, 'answer' as prompts from a""",
+    "citations_as_json": """select summary_id, len(citations)::int as n_citations, md5(array_to_string(list_transform(citations, lambda c: concat_ws('|', c.number, c.source, c.page_number, c.chunk_index, c.excerpt)), ';')) as citations_md5, len(prompt_references)::int as n_prompts from document_summaries""",
     "summary_batches": f"with recursive {_BATCHED} select document, b as batch_number, a::int as first_number, z::int as last_number, length(t) as n_chars, md5(t) as prompt_md5 from p",
     "summaries_reduced": f"""with recursive {_BATCHED},
       s as (select document, count(*) as n_batches, string_agg(left(t, {OUTLINE}), chr(10) || chr(10) order by b) as texts, string_agg(a::varchar, ',' order by b) as citations, bool_or(a % 7 = 3) as odd from p group by 1)

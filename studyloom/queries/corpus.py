@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions.text import collapse, tidy_page, uuid_key
 from studyloom.operators.batching import budget_batches, fixed_batches
-from studyloom.operators.chunking import chunk_pages, chunk_words, split_pages
+from studyloom.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_pages, chunk_words, split_pages
 
 BUDGET, MOST, OVERLAP = 2000, 200, 40
 
@@ -107,31 +107,38 @@ _DEDUPE = "select doc_id, sha256(text) as content_sha256, min(doc_id) over (part
 _LIBRARY = f"""lib as (
   select c.* exclude (r) from (select *, {_KEY.format(c="document_id")} as document, row_number() over (partition by {_KEY.format(c="document_id")}, chunk_index order by chunk_id) as r
   from chunks where document_id is not null) c where r = 1)"""
-_PREFIX = f"""
-w as (
+
+
+def _runs(texts: str, most: int, overlap: int) -> str:
+    """SQL: chunk (doc_id, chunk_index, t), the overlapping word runs of every text of a query (doc_id unique, text)."""
+    return f"""with recursive w as (
   select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from (
-    select doc_id, flatten(list_transform(list_filter(regexp_split_to_array(text, '[{_WS}\\x1C-\\x1F]+'), lambda x: x <> ''), lambda x: regexp_extract_all(x, '(?s).{{1,{MOST}}}'))) as words from documents where text is not null)),
+    select doc_id, flatten(list_transform(list_filter(regexp_split_to_array(text, '[{_WS}\\x1C-\\x1F]+'), lambda x: x <> ''), lambda x: regexp_extract_all(x, '(?s).{{1,{most}}}'))) as words from ({texts}) where text is not null)),
 q as (
   select doc_id, word, i, sum(length(word) + 1) over (partition by doc_id order by i) as e from w),
 p as (
   select doc_id, list(word order by i) as words, count(*) as n, list_prepend(0::bigint, list(e::bigint order by i)) as ends from q group by doc_id),
-"""
-_CHUNKS = f"""with recursive {_PREFIX}
 c as (
-  select doc_id, 0 as chunk_index, 0::bigint as s, (len(list_filter(ends, lambda v: v <= {MOST} + 1)) - 1)::bigint as e, n from p
+  select doc_id, 0 as chunk_index, 0::bigint as s, (len(list_filter(ends, lambda v: v <= {most} + 1)) - 1)::bigint as e, n from p
   union all
-  select c.doc_id, c.chunk_index + 1, t.s, (len(list_filter(p.ends, lambda v: v <= p.ends[t.s + 1] + {MOST} + 1)) - 1)::bigint, c.n
-  from c join p using (doc_id), lateral (select case when greatest(c.s, least(c.e, len(list_filter(p.ends, lambda v: v < p.ends[c.e + 1] - 1 - {OVERLAP})))) = c.s then c.e
-    else greatest(c.s, least(c.e, len(list_filter(p.ends, lambda v: v < p.ends[c.e + 1] - 1 - {OVERLAP})))) end as s) t
+  select c.doc_id, c.chunk_index + 1, t.s, (len(list_filter(p.ends, lambda v: v <= p.ends[t.s + 1] + {most} + 1)) - 1)::bigint, c.n
+  from c join p using (doc_id), lateral (select case when greatest(c.s, least(c.e, len(list_filter(p.ends, lambda v: v < p.ends[c.e + 1] - 1 - {overlap})))) = c.s then c.e
+    else greatest(c.s, least(c.e, len(list_filter(p.ends, lambda v: v < p.ends[c.e + 1] - 1 - {overlap})))) end as s) t
   where c.e < c.n),
 chunk as (
   select doc_id, chunk_index, array_to_string(p.words[c.s + 1 : c.e], ' ') as t from c join p using (doc_id))
 """
+
+
+_CHUNKS = _runs("select doc_id, text from documents", MOST, OVERLAP)
+# a page of one line is one paragraph: cut into runs if it is too long, else one run
+_PAGES = "select doc_id * 100000 + generate_subscripts(string_split(text, chr(10)), 1) as doc_id, unnest(string_split(text, chr(10))) as text from documents where text is not null"
 ORACLES = {
     "text_normalise": f"select doc_id, length({_TIDY}) as n_chars, md5({_TIDY}) as text_md5, length({_COLLAPSE}) as n_collapsed from documents",
     "doc_hash_dedupe": _DEDUPE,
     "import_summary": f"with d as (select d.source, case when {_COLLAPSE.replace('(text', '(d.text')} = '' then 'failed' else status end as status from ({_DEDUPE}) x join documents d using (doc_id)) select source, count(*) filter (status = 'added') as n_added, count(*) filter (status = 'skipped') as n_skipped, count(*) filter (status = 'failed') as n_failed, count(*) as n_documents from d group by 1",
     "page_split": "select doc_id, generate_subscripts(parts, 1)::int as page, length(unnest(parts)) as n_chars, md5(unnest(parts)) as page_md5 from (select doc_id, string_split(text, chr(10) || chr(10)) as parts from documents where text is not null)",
+    "chunk_documents": f"{_runs(_PAGES, MAX_CHARS, OVERLAP_CHARS)} select doc_id // 100000 as doc_id, (doc_id % 100000)::int as page, (row_number() over (partition by doc_id // 100000 order by doc_id, chunk_index) - 1)::int as chunk_index, length(t) as n_chars, md5(t) as chunk_md5 from chunk",
     "chunk_words_200": f"{_CHUNKS} select doc_id, chunk_index, length(t) as n_chars, md5(t) as chunk_md5 from chunk",
     "chunk_stats": f"{_CHUNKS} select source, count(*) as n_chunks, max(length(t)) as most_chars, sum(length(t))::bigint as n_chars, count(distinct doc_id) as n_documents from chunk join documents using (doc_id) group by 1",
     "budget_batches_2000": f"""with recursive {_LIBRARY},

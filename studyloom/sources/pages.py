@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyloom.functions.text import tidy_page
 from studyloom.operators.chunking import split_pages
+from studyloom.plans.lineage import path_of
 
-PAGES = "path string, source string, content_sha256 string, page_number int, text string, problem string"
+PAGES = "path string, source string, content_sha256 string, page_number int, text string, problem string, diagnostics array<string>"
+
+
+def checked_files(spark: SparkSession, paths: list[str], suffix: str) -> list[str]:
+    """paths as they are, if each is an existing file of that suffix (in any letter case); ValueError names the others. The paths
+    are those a user has typed, not the files of a folder."""
+    wrong = []
+    for path in paths:
+        fs, at = path_of(spark, path)
+        if not fs.exists(at):
+            wrong.append(f"{path} does not exist")
+        elif not fs.getFileStatus(at).isFile():
+            wrong.append(f"{path} is no file")
+        elif not path.lower().endswith(suffix.lower()):
+            wrong.append(f"{path} is no {suffix} file")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return paths
 
 
 def file_name(path: Column) -> Column:
@@ -30,7 +49,8 @@ def read_text_pages(spark: SparkSession, path: str, marker: str, glob: str = "*"
 
 def read_binary_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
     """Files through an extractor (bytes to the texts of the pages), in tasks: path, source, content_sha256, page_number, text,
-    problem. A file that the extractor fails on is one row with the problem and no page; the others aren't touched by it."""
+    problem, diagnostics (what the extractor warned of, on every row of the file). A file that the extractor fails on is one row
+    with the problem and no page; the others aren't touched by it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     known = files.select("path", file_name(F.col("path")).alias("source"), F.sha2("content", 256).alias("content_sha256"), "content")
 
@@ -38,12 +58,17 @@ def read_binary_pages(spark: SparkSession, path: str, extract: Callable[[bytes],
         for batch in batches:
             rows = []
             for f in batch.itertuples(index=False):
-                try:
-                    pages = extract(bytes(f.content))
-                    rows += [(f.path, f.source, f.content_sha256, n, text, None) for n, text in enumerate(pages, 1)]
-                except Exception as e:  # noqa: BLE001
-                    rows.append((f.path, f.source, f.content_sha256, None, None, f"{type(e).__name__}: {e}"))
-            out = pd.DataFrame(rows, columns=["path", "source", "content_sha256", "page_number", "text", "problem"])
+                with warnings.catch_warnings(record=True) as seen:
+                    warnings.simplefilter("always")
+                    try:
+                        pages, problem = extract(bytes(f.content)), None
+                    except Exception as e:  # noqa: BLE001
+                        pages, problem = [], f"{type(e).__name__}: {e}"
+                said = [str(w.message) for w in seen]
+                if problem:
+                    rows.append((f.path, f.source, f.content_sha256, None, None, problem, said))
+                rows += [(f.path, f.source, f.content_sha256, n, text, None, said) for n, text in enumerate(pages, 1)]
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PAGES.split(", ")])
             out["page_number"] = out["page_number"].astype("Int32")
             yield out
 
@@ -66,7 +91,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     checked = files.withColumn("cases", F.when(F.assert_true(F.col("schema_version") == 1, F.lit("cases need schema_version 1")).isNull(), F.col("cases")))
     rows = checked.select(F.explode("cases").alias("c")).select(F.col("c.id").alias("case_id"), "c.question", "c.expected_citations", "c.expected_concepts")
     whole = F.col("case_id").isNotNull() & F.col("question").isNotNull() & (F.size("expected_citations") > 0)
-    return rows.filter(F.assert_true(whole, F.lit("a case needs id, question and expected citations")).isNull())
+    rows = rows.filter(F.assert_true(whole, F.lit("a case needs id, question and expected citations")).isNull())
+    same = F.count("*").over(Window.partitionBy("case_id"))
+    return rows.withColumn("_n", same).filter(F.assert_true(F.col("_n") == 1, F.lit("case ids must be unique")).isNull()).drop("_n")
 
 
 def skip_known(files: DataFrame, stored: DataFrame, order: str = "path") -> DataFrame:
