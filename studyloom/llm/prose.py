@@ -36,7 +36,7 @@ ROUNDS = 2
 #: Classes of one window of a page, and the least share of closed-class words in a window that is trained on.
 WINDOW, FRAMED = 32, 0.1
 #: A page further from the middle of prose pages than so many deviations is abnormal; a window further than TRIM isn't trained on.
-ABNORMAL, TRIM = 4.5, 4.0
+ABNORMAL, TRIM = 3.9, 4.0
 #: Classes as in the middle of prose pages that every page is taken to have besides its own, as a few tell little.
 FEW = 8
 #: Shares of a page's words so far (SOFTEN words more) that divide the classes of repeated words.
@@ -50,6 +50,7 @@ _TOKEN = re.compile(r"https?://[^\s\"<>)\]]+|www\.[^\s\"<>)\]]+|#[^\W_]+|[^\W\d_
 # Characters that cannot be seen.
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20}
+_MARKS = re.compile("[\u0300-\u036f]")
 _IS_WIDE = re.compile("[！-～　]")
 
 # Signs with a class of their own.
@@ -101,6 +102,8 @@ def fold(text: str) -> str:
             text = text.translate(_WIDE)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
+        if _MARKS.search(text):  # accents on look-alikes, which only compose with the letters that these stand for
+            text = skeleton(text)
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
