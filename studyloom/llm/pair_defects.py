@@ -28,6 +28,8 @@ DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 SUBJECT_SHARE = 1e-4
 #: An answer with a smaller share of the subject's words is off the subject, one with a larger share on it.
 LITTLE, MUCH = 0.1, 0.33
+#: An answer about answering has at least this share of words of oneself and of speech.
+TELLING = 1 / 30
 #: Hash buckets of the letter trigrams of the language model: its size is fixed.
 BUCKETS = 1 << 13
 
@@ -216,7 +218,7 @@ class Voter:
             1 if declines or unknown else -1,
             1 if unknown else 0,
             -1 if numbers or about >= MUCH else 1 if about < LITTLE else 0,
-            1 if len(own_words) <= 30 and (any(w in SELF for w in own_words) or SPEECH.search(own)) else 0,
+            1 if own_words and sum(w in SELF for w in own_words) + len(SPEECH.findall(own)) >= TELLING * len(own_words) else 0,
         ]
         # language: of what is not quoted
         text, ws = (own, own_words) if own_words else (low, words)
@@ -335,7 +337,8 @@ def defects(pairs: DataFrame) -> DataFrame:
         out = out.withColumn(f"p_{d}", F.coalesce(F.try_element_at(look, F.array_join(F.transform(f"v_{d}", lambda x: x.cast("string")), ",")), F.lit(0.0)))
     # what declines and speaks of answering is a refusal first, in whatever language
     leads = lambda d: (F.lit(d == "refusal") & (F.col("v_refusal")[0] == 1) & (F.col("v_refusal")[3] == 1)).cast("int")
-    over = F.array(*(F.when(F.col(f"p_{d}") >= cutoffs[d], F.struct(leads(d).alias("first"), F.col(f"p_{d}").alias("p"), F.lit(-k).alias("k"), F.lit(d).alias("defect"))) for k, d in enumerate(DEFECTS)))
+    # a label needs a function that votes for it: patterns without any opinion say nothing
+    over = F.array(*(F.when((F.col(f"p_{d}") >= cutoffs[d]) & F.array_contains(f"v_{d}", 1), F.struct(leads(d).alias("first"), F.col(f"p_{d}").alias("p"), F.lit(-k).alias("k"), F.lit(d).alias("defect"))) for k, d in enumerate(DEFECTS)))
     labels = F.transform(F.sort_array(F.filter(over, lambda x: x.isNotNull()), asc=False), lambda x: x["defect"])
     return out.select("row", *(f"p_{d}" for d in DEFECTS), labels.alias("labels"))
 
