@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.plans.lineage import cut, spread
+from studyloom.plans.lineage import broadcast_if_small, cut, spread
 
 #: Words of a shingle, and the share of shingles that near copies have in common.
 WORDS, ALIKE = 5, 0.8
@@ -62,7 +62,10 @@ def links(texts: DataFrame) -> DataFrame:
     ends = held.groupBy("band", "bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     pairs = held.join(ends, ["band", "bucket"]).select("key", F.explode(F.array("low", "high")).alias("other")).filter("key <> other")
     pairs = pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
-    own = signed.select("key", "shingles")
+    pairs = cut(pairs)
+    n = pairs.count()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    own = signed.select("key", "shingles").join(broadcast_if_small(asked, 2 * n, 16), "key", "left_semi")  # few texts have a near copy
     both = pairs.join(own.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     return both.filter(_similarity("x", "y") >= ALIKE).select("a", "b")
 
