@@ -11,6 +11,11 @@ _LETTERS = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v",
     "μ": "µ", "\u212a": "K", "‐": "-", "‑": "-",
 }
+# The same for letters stored together with their accent.
+_ACCENTED = {
+    "ё": "ë", "Ё": "Ë", "ѐ": "è", "Ѐ": "È", "ї": "ï", "Ї": "Ï", "ӓ": "ä", "Ӓ": "Ä", "ӑ": "ă", "Ӑ": "Ă", "ӗ": "ĕ", "Ӗ": "Ĕ", "ӧ": "ö", "Ӧ": "Ö", "ӱ": "ÿ", "ӯ": "ȳ",
+    "ό": "ó", "Ό": "Ó", "Ά": "Á", "Έ": "É", "Ί": "Í", "Ύ": "Ý", "Ϊ": "Ï", "Ϋ": "Ÿ",
+}
 # The small letters whose capital looks like a Latin one.
 _SMALL = {"в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "h", "ι": "i", "κ": "k", "ρ": "p", "τ": "t", "υ": "y", "χ": "x"}
 _LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
@@ -25,8 +30,8 @@ def _translate(text: str, of: dict[str, str], gone: list[int] = []) -> str:  # n
 def _look(text: str) -> str:
     """SQL: what cannot be seen taken out, line ends, widths, composed form, letters, ligatures, composed form again."""
     x = _translate(text, {chr(p): " " for p in _BLANKS}, _UNSEEN)
-    x = f"nfc_normalize({_translate(f'replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))', _WIDE)})"
-    x = _translate(x, _LETTERS)
+    x = _translate(f"replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))", _WIDE | _LETTERS)
+    x = _translate(f"nfc_normalize({x})", _ACCENTED)
     for sign, letters in _LIGATURES.items():
         x = f"replace({x}, '{sign}', '{letters}')"
     return f"nfc_normalize({x})"
