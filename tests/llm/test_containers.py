@@ -1,10 +1,12 @@
 import random
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, count
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from studyloom.llm import near_copies
 from studyloom.llm.containers import best_fit, fill_containers, fill_rates
 from studyloom.llm.near_copies import components, copy_classes, links, shingles
 
@@ -68,6 +70,29 @@ def test_links_against_brute_force(spark):
     assert sum(part.get(a) == part.get(b) and a in part for a, b in alike) >= 0.98 * len(alike)
 
 
+@pytest.mark.parametrize(("few", "salted"), [(64, 2048), (2, 16)])
+def test_classes_of_forms_are_whole(spark, monkeypatch, few, salted):
+    # forms of which most is the same in all, so that each has more in common with many that are no near copy than minhashes tell apart
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "SALTED", salted)
+    r = random.Random(4)
+    fresh = (f"w{i}" for i in count())
+    rows = []
+    for same in (60, 86):
+        form = [next(fresh) for _ in range(same)]
+        for _ in range(90):
+            own = [next(fresh) for _ in range(104 - same)]
+            near = own[: len(own) - r.choice([7, 8, 9, 10, 11, 12, 13])]
+            near += [next(fresh) for _ in range(len(own) - len(near))]
+            rows += [" ".join(form + own), " ".join(form + near)]
+    r.shuffle(rows)
+    sets = [set(shingles(t).tolist()) for t in rows]
+    alike = {(b, a) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 60 < len(alike) < 180
+    found = {(x.a, x.b) for x in links(spark.createDataFrame(list(enumerate(rows)), "key bigint, words string")).collect()}
+    assert found == alike  # every class is a pair: no link may be missed
+
+
 def test_copy_classes_of_odd_texts(spark):
     rows = [(1, "Hello world"), (2, "hello, WORLD."), (3, "123"), (4, "456"), (5, "123"), (6, ""), (7, None), (8, "Hello")]
     out = {x.doc_id: x.cluster for x in copy_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
