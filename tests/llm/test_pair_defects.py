@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from studyloom.llm import pair_defects, truncation
 from studyloom.llm.pair_defects import LabelModel, best_cutoff, declining, defects
 
 TOPIC = ["river terraces", "loan words", "grain prices", "night cooling", "salt intrusion", "pollen counts", "tree rings", "market rents", "bird song", "ice cover"]
@@ -45,6 +46,32 @@ def test_nulls_and_empty_table(spark):
     assert defects(df.limit(0)).count() == 0
 
 
+def test_stored_pairs_are_not_written_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(pair_defects, "cut", lambda df, plain=pair_defects.cut: written.append(df.columns) or plain(df))
+    stored = pair_defects.cut(spark.createDataFrame(pairs(200)[0], SCHEMA))
+    del written[:]
+    labels = {r.row: r.labels for r in defects(stored, stored=True).collect()}
+    assert ["row", "question", "answer"] not in written
+    assert labels == {r.row: r.labels for r in defects(stored).collect()}
+
+
+def test_marks_are_sought_only_where_a_text_can_end_with_one(monkeypatch):
+    texts = ["It ends here.", "x ..", "x ... ", "a [...]", "a […]\n", "b…", "b [5]", ".", "", "a. . ..", "..."]
+    want = [truncation._MARK.sub("", x.rstrip()) for x in texts]
+
+    class Mark:
+        sought = []
+
+        def sub(self, to, text, plain=truncation._MARK):
+            self.sought.append(text)
+            return plain.sub(to, text)
+
+    monkeypatch.setattr(truncation, "_MARK", Mark())
+    assert [truncation.ending(x)[0] for x in texts] == want
+    assert texts[0] not in Mark.sought
+
+
 def test_label_model_and_cutoff():
     r = np.random.default_rng(0)
     truth = r.random(20000) < 0.05
